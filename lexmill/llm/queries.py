@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, sharding, url_filter
+from . import license_scan, mixing, sharding, simhash, url_filter
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_slots(table(spark, sf_dir, "documents"), n_shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -24,10 +28,17 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.simhash_groups(table(spark, sf_dir, "documents"), width=3, radius=2)
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op5_license_scan": op5_license_scan,
+    "op6_simhash": op6_simhash,
 }
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
@@ -65,5 +76,35 @@ spread AS (
   FROM reach JOIN judged ON judged.node = reach.b GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
 FROM pages JOIN judged ON judged.u IS NOT DISTINCT FROM pages.url LEFT JOIN spread ON spread.node = judged.node
+""",
+    "op2_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    (('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+c AS (SELECT *, CASE WHEN size < 64 THEN 0 WHEN size < 256 THEN 1 WHEN size < 1024 THEN 2 WHEN size < 4096 THEN 3 ELSE 4 END AS class FROM d),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
+f AS (
+  SELECT *, 3 * source_size AS cap, row_number() OVER o AS k,
+    (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s WINDOW o AS (ORDER BY 3 * source_size / w, source NULLS LAST)),
+t AS (SELECT source, source_size, CASE WHEN k < coalesce(first_k, 1000000000) THEN cap ELSE first_level * w END AS target
+  FROM f, (SELECT min(k) AS first_k, min_by(level, k) AS first_level FROM f WHERE level * w <= cap)),
+g AS (SELECT source, class, (8 - class)::DOUBLE AS g, sum(size)::DOUBLE AS words FROM c GROUP BY ALL),
+l AS (
+  SELECT g.*, source_size, target, (target - 3 * coalesce(sum(words) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(g * words) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level
+  FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source WINDOW o AS (PARTITION BY g.source ORDER BY class)),
+x AS (SELECT *, min(CASE WHEN level * g <= 3 THEN class END) OVER p AS k, min_by(level, class) FILTER (WHERE level * g <= 3) OVER p AS best FROM l WINDOW p AS (PARTITION BY source)),
+e AS (SELECT *, coalesce(CASE WHEN class < coalesce(k, 99) THEN 3.0::DOUBLE ELSE least(best * g, 3.0::DOUBLE) END, 0) AS copies FROM x),
+h AS (SELECT *, floor(copies + 1e-9) AS whole, CASE WHEN copies - floor(copies + 1e-9) > 1e-9 THEN copies - floor(copies + 1e-9) ELSE 0 END AS part FROM e),
+q AS (SELECT *, target - sum(whole * words) OVER (PARTITION BY source) AS quota FROM h),
+r AS (
+  SELECT c.doc_id, c.source, c.size, c.class, q.source_size, q.target, q.whole, q.part, q.quota, u * (1 - part) / (u * (1 - part) + (1 - u) * part) AS rank_key
+  FROM c JOIN q ON c.source IS NOT DISTINCT FROM q.source AND c.class = q.class),
+a AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank_key, doc_id) <= quota AS picked FROM r WHERE part > 0 AND size > 0),
+b AS (SELECT *, quota - coalesce(sum(size) FILTER (WHERE picked) OVER (PARTITION BY source), 0) AS gap FROM a),
+m AS (SELECT source, arg_min(doc_id, (abs(gap - size), rank_key, doc_id)) AS fit FROM b WHERE NOT picked AND abs(gap - size) < gap GROUP BY source)
+SELECT r.doc_id, r.size, r.source_size::BIGINT AS source_size, r.target,
+  (CASE WHEN r.size = 0 THEN 0 ELSE r.size * (r.whole + CASE WHEN b.picked OR m.fit = r.doc_id THEN 1 ELSE 0 END) END)::BIGINT AS taken
+FROM r LEFT JOIN b ON b.doc_id = r.doc_id LEFT JOIN m ON m.source IS NOT DISTINCT FROM r.source
 """,
 }
