@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, sharding, simhash, url_filter
+from . import decontaminate, license_scan, mixing, quality, sharding, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -33,12 +33,30 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.THRESHOLD).alias("keep"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.classify(docs.select("doc_id", "text"), labels)
+    return scored.select("doc_id", *(f"p_{c}" for c in toxicity.CATEGORIES), "toxic")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
     "op5_license_scan": op5_license_scan,
     "op6_simhash": op6_simhash,
+    "op7_decontamination": op7_decontamination,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
@@ -106,5 +124,18 @@ m AS (SELECT source, arg_min(doc_id, (abs(gap - size), rank_key, doc_id)) AS fit
 SELECT r.doc_id, r.size, r.source_size::BIGINT AS source_size, r.target,
   (CASE WHEN r.size = 0 THEN 0 ELSE r.size * (r.whole + CASE WHEN b.picked OR m.fit = r.doc_id THEN 1 ELSE 0 END) END)::BIGINT AS taken
 FROM r LEFT JOIN b ON b.doc_id = r.doc_id LEFT JOIN m ON m.source IS NOT DISTINCT FROM r.source
+""",
+    "op7_decontamination": r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+ik AS (SELECT row_number() OVER () AS k, item_id, w, least(len(w), 5) AS wide FROM i WHERE len(w) > 0),
+ish AS (SELECT k, item_id, wide, unnest(list_distinct(list_transform(range(1, len(w) - wide + 2), lambda p: array_to_string(w[p:p + wide - 1], ' ')))) AS s FROM ik),
+n AS (SELECT k, count(*) AS n FROM ish GROUP BY k),
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+dsh AS (SELECT r, doc_id, unnest(list_distinct(list_transform(range(1, len(w) - wide + 2), lambda p: array_to_string(w[p:p + wide - 1], ' ')))) AS s
+  FROM d, (SELECT DISTINCT wide FROM ish) WHERE len(w) >= wide),
+hit AS (SELECT doc_id, item_id, r, k, count(*) AS shared FROM dsh JOIN ish USING (s) GROUP BY ALL),
+ok AS (SELECT doc_id, item_id, shared, n, shared::DOUBLE / n AS containment FROM hit JOIN n USING (k) WHERE round(shared::DOUBLE / n, 9) >= 0.8)
+SELECT doc_id, item_id, max(containment) AS containment, max_by(shared, (containment, shared, n))::BIGINT AS shared, max_by(n, (containment, shared, n))::BIGINT AS n_shingles
+FROM ok GROUP BY doc_id, item_id
 """,
 }
