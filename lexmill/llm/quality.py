@@ -52,7 +52,9 @@ class Stats:
     bars: float  # share of words without letters and digits
     tails: float  # share of words that end in two signs or more
     stutter: float  # share of words that equal the word before
-    variety: float  # distinct words over the words of a text of that length with even use
+    run: int  # most equal words in a row
+    repeats: float  # share of word pairs that occurred before
+    variety: float  # distinct words over the words to the power 3/4
     shapes: dict[bytes, int]
 
 
@@ -85,7 +87,7 @@ def stats(text: str | None) -> Stats:
     words = raw.split()
     n = len(words)
     if not n:
-        return Stats(0, 0, 0, 0, 0, 0, 0, 0, {})
+        return Stats(0, 0, 0, 0, 0, 0, 0, 0, 0, 0, {})
     shapes: Counter = Counter(raw.translate(SHAPE).split())
     squeezed: Counter = Counter()
     prose = signs = capitals = letters = bars = tails = chars = 0
@@ -99,8 +101,11 @@ def stats(text: str | None) -> Stats:
         bars += k * bar
         tails += k * tail
         chars += k * len(shape)
-    stutter = sum(map(bytes.__eq__, words, words[1:]))
-    return Stats(n, prose / n, signs / chars, capitals / max(1, letters), bars / n, tails / n, stutter / n, len(set(words)) / n**0.75, squeezed)
+    same = list(map(bytes.__eq__, words, words[1:]))
+    stutter = sum(same)
+    run = 1 + max(map(len, bytes(same).split(b"\0"))) if stutter else 1
+    repeats = 1 - len(set(zip(words, words[1:]))) / (n - 1) if n > 1 else 0
+    return Stats(n, prose / n, signs / chars, capitals / max(1, letters), bars / n, tails / n, stutter / n, run, repeats, len(set(words)) / n**0.75, squeezed)
 
 
 def _above(junk: float, prose: float | None = None):
@@ -108,14 +113,17 @@ def _above(junk: float, prose: float | None = None):
     return lambda x: JUNK if x >= junk else PROSE if prose is not None and x <= prose else NOTHING
 
 
-#: (name, what it looks at, vote). They overlap: most junk meets several.
+#: (name, what it looks at, vote). They overlap: most junk meets several. A
+#: defect's absence says little, so that most vote on junk alone.
 LABELLERS = (
     ("prose_shape", lambda s: 1 - s.prose, _above(0.4, 0.1)),
-    ("symbols", lambda s: s.symbols, _above(0.12, 0.03)),
-    ("capitals", lambda s: s.capitals, _above(0.6, 0.12)),
+    ("symbols", lambda s: s.symbols, _above(0.12)),
+    ("capitals", lambda s: s.capitals, _above(0.6)),
     ("bars", lambda s: s.bars, _above(0.2)),
     ("tails", lambda s: s.tails, _above(0.2)),
-    ("stutter", lambda s: s.stutter, _above(0.25, 0.05)),
+    ("stutter", lambda s: s.stutter, _above(0.2)),
+    ("run", lambda s: s.run, _above(5)),
+    ("repeats", lambda s: s.repeats if s.words >= 20 else 0, _above(0.6)),
     ("variety", lambda s: -s.variety if s.words >= 40 else -1.0, _above(-0.35)),
 )
 
@@ -130,29 +138,24 @@ def votes_of(p: int) -> list[int]:
     return [p // 3**i % 3 for i in range(len(LABELLERS))]
 
 
-def estimate(counts: dict[int, int], rounds: int = ROUNDS) -> tuple[dict[int, float], np.ndarray, float]:
-    """Posterior of prose by pattern, the labellers' vote rates (labeller,
-    class, vote), and the share of prose, by expectation-maximisation."""
+def estimate(counts: dict[int, int], rounds: int = ROUNDS) -> tuple[dict[int, float], dict[str, float], float]:
+    """Posterior of prose by pattern, the labellers' accuracies and the share of
+    prose, by expectation-maximisation. An accuracy is the probability that a
+    vote is right; labellers that do not vote say nothing."""
     patterns = sorted(counts)
     votes = np.array([votes_of(p) for p in patterns]).reshape(len(patterns), len(LABELLERS))
     n = np.array([counts[p] for p in patterns], float)
-    good = np.where((votes == JUNK).any(1), 0.1, 0.9)
-    rates, share = np.full((len(LABELLERS), 2, 3), 1 / 3), 0.5
+    good = np.where((votes == JUNK).any(1), 0.05, 0.95)
+    accuracy, share = np.full(len(LABELLERS), 0.8), 0.5
     for _ in range(rounds):
-        weight = np.stack([n * (1 - good), n * good])
-        share = (weight[1].sum() + 1) / (n.sum() + 2)
-        for v in range(3):
-            rates[:, :, v] = ((votes == v).T.astype(float) @ weight.T + 0.5) / (weight.sum(1) + 1.5)
-        logs = np.log([1 - share, share])[None] + sum(np.log(rates[i][:, votes[:, i]]).T for i in range(len(LABELLERS)))
-        good = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
-    return dict(zip(patterns, good.tolist())), rates, float(share)
-
-
-def accuracies(rates: np.ndarray, share: float) -> dict[str, float]:
-    """The estimated probability that a labeller's vote is right, if it votes."""
-    right = (1 - share) * rates[:, JUNK, JUNK] + share * rates[:, PROSE, PROSE]
-    cast = (1 - share) * (1 - rates[:, JUNK, NOTHING]) + share * (1 - rates[:, PROSE, NOTHING])
-    return {name: float(x) for (name, _, _), x in zip(LABELLERS, right / np.maximum(cast, 1e-12))}
+        share = (n @ good + 1) / (n.sum() + 2)
+        for i in range(len(LABELLERS)):
+            junk, prose = n * (votes[:, i] == JUNK), n * (votes[:, i] == PROSE)
+            accuracy[i] = (junk @ (1 - good) + prose @ good + 4) / (junk.sum() + prose.sum() + 5)
+        weight = np.log(accuracy / (1 - accuracy))
+        odds = np.log(share / (1 - share)) + (votes == PROSE) @ weight - (votes == JUNK) @ weight
+        good = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    return dict(zip(patterns, good.tolist())), {name: float(a) for (name, _, _), a in zip(LABELLERS, accuracy)}, float(share)
 
 
 def features(s: Stats) -> dict[int, float]:
@@ -163,7 +166,7 @@ def features(s: Stats) -> dict[int, float]:
         i = zlib.crc32(b"shape:" + shape) % FEATURES
         out[i] = out.get(i, 0.0) + k
     out = {i: (v / s.words) ** 0.5 for i, v in out.items()}
-    for name, x in (("stutter", s.stutter), ("capitals", s.capitals), ("symbols", s.symbols), ("bars", s.bars), ("tails", s.tails), ("prose", 1 - s.prose)):
+    for name, x in (("stutter", s.stutter), ("repeats", s.repeats), ("run", min(s.run, 9) / 20), ("capitals", s.capitals), ("symbols", s.symbols), ("bars", s.bars), ("tails", s.tails), ("prose", 1 - s.prose)):
         i = zlib.crc32(f"{name}:{min(9, int(x * 20))}".encode()) % FEATURES
         out[i] = out.get(i, 0.0) + 0.5
     return out
@@ -217,7 +220,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample:
             yield pa.RecordBatch.from_arrays([pa.array([pattern(stats(t)) for t in batch.column(0).to_pylist()], pa.int64())], ["pattern"])
 
     counts = {r.pattern: r.n for r in map_batches(narrow, votes, "pattern long").groupBy("pattern").agg(F.count("*").alias("n")).collect()}
-    posteriors, rates, share = estimate(counts)
+    posteriors, accuracy, share = estimate(counts)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +234,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample:
     chosen = narrow.where(F.length("text") > 0).where(hash31(F.lit(9), F.col("id"), F.col("text")) < fit_threshold(sum(counts.values()), sample))
     got = sorted(((r.pattern, r["at"], r["value"]) for r in map_batches(chosen, rows, "pattern long, at array<int>, value array<float>").limit(2 * sample).collect()))
     weights, bias = train([dict(zip(at, value)) for _, at, value in got], np.array([posteriors.get(p, share) for p, _, _ in got]))
-    return Model(weights, bias, posteriors, accuracies(rates, share))
+    return Model(weights, bias, posteriors, accuracy)
 
 
 def score_column(model: Model, text: Column) -> Column:

@@ -92,7 +92,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 1000, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     w, speed = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     x = np.column_stack([x, np.ones(len(x), x.dtype)])
     hold = np.r_[np.full(len(w) - 1, l2), 0]
