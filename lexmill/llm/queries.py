@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mixing, quality, sharding, simhash, toxicity, url_filter
+from . import decontaminate, html_extract, license_scan, mixing, quality, sharding, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_articles(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.select("doc_id", F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.THRESHOLD).alias("keep"))
@@ -55,6 +59,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
+    "op8_html_extraction": op8_html_extraction,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
