@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, license_scan, mixing, quality, sharding, simhash, toxicity, url_filter
+from . import decontaminate, embedding_dedup, html_extract, license_scan, mixing, quality, sharding, simhash, toxicity, url_filter
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least_cosine=0.98)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
@@ -56,6 +60,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_mixing": op2_mixing,
     "op3_sharding": op3_sharding,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
