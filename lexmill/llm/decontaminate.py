@@ -9,8 +9,11 @@ in it, whatever the document's length. Documents that hold a minimum of an
 item's sketch are candidates, without false negatives, and every candidate is
 verified by exact shingle containment on the words themselves.
 
-The sketches of all items are broadcast after their rows are counted, and
-joined by shuffle beyond that. Documents' texts move only for candidates.
+If all items' shingles are few enough to broadcast (they are counted first),
+documents' shingles are looked up where they are read, and only those that items
+share move: a candidate is a document with a minimum among them. Beyond that,
+shingle hashes are joined with the minima by shuffle, and the texts of the
+candidates are verified in a second pass. Both ways give the same rows.
 
 Cases: words are runs of letters and digits in lower case; a null or empty
 item, or one without words, is in no document; a null or empty document holds
@@ -29,6 +32,8 @@ from .common import Scratch, broadcast_if_small
 
 WIDTH = 5
 CONTAINMENT = 0.8
+#: Shingles of all items, at most, that are broadcast.
+BROADCAST_SHINGLES = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -74,6 +79,7 @@ def find_items(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    broadcast_shingles: int = BROADCAST_SHINGLES,
 ) -> DataFrame:
     """(row_key, doc_id, item_id, shared, n_shingles, containment) for every
     document and item of which it holds at least ``containment``."""
@@ -81,27 +87,57 @@ def find_items(
     named = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text"))
     sketched = scratch.save(_sketches(named, width, containment).withColumn("item", F.monotonically_increasing_id()), "sketches")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
+    widths = [r.wide for r in sketched.select("wide").distinct().collect()]  # at most ``width`` values
+    n_shingles = sketched.agg(F.sum("n_shingles")).first()[0] or 0
+    find = _look_up if n_shingles <= broadcast_shingles else _verify_apart
+    found = find(texts, sketched, widths, scratch)
+    share = F.col("shared") / F.col("n_shingles")
+    return found.where(F.round(share, 9) >= containment).select("row_key", "doc_id", "item_id", "shared", "n_shingles", share.alias("containment"))
+
+
+def _none(texts: DataFrame, sketched: DataFrame) -> DataFrame:
+    nothing = sketched.where(F.lit(False)).select("item", "item_id", "n_shingles", F.lit(0).alias("shared"))
+    return texts.select("row_key", "doc_id").where(F.lit(False)).join(nothing, F.lit(True), "inner")
+
+
+def _look_up(texts: DataFrame, sketched: DataFrame, widths: list[int], scratch: Scratch) -> DataFrame:
+    """Shared shingles of documents and items, counted where an item's minimum is among them."""
+    listed = sketched.select("item", "item_id", "wide", "n_shingles", "sketch", F.explode("shingles").alias("shingle"))
+    hits = None
+    for wide in widths:
+        own = listed.where(F.col("wide") == wide)
+        minimum = F.array_contains("sketch", F.xxhash64(*(F.get(F.split("shingle", " "), k) for k in range(wide))))
+        own = scratch.save(own.select("item", "item_id", "n_shingles", "shingle", minimum.alias("minimum")), f"shingles{wide}")
+        split = texts.select("row_key", "doc_id", words_of(F.col("text")).alias("words"))
+        shingles = split.select("row_key", "doc_id", F.explode(shingle_words(F.col("words"), wide)).alias("shingle"))
+        met = shingles.join(F.broadcast(own), "shingle")
+        hits = met if hits is None else hits.unionByName(met)
+    if hits is None:
+        return _none(texts, sketched)
+    keys = ["row_key", "doc_id", "item", "item_id", "n_shingles"]
+    once = hits.groupBy(*keys, "shingle").agg(F.max("minimum").alias("minimum"))
+    return once.groupBy(*keys).agg(F.count("*").alias("shared"), F.max("minimum").alias("candidate")).where("candidate").drop("candidate")
+
+
+def _verify_apart(texts: DataFrame, sketched: DataFrame, widths: list[int], scratch: Scratch) -> DataFrame:
+    """Candidates by shuffled minima; then their texts are searched for the item's shingles."""
     split = texts.select("row_key", words_of(F.col("text")).alias("words"))
     candidates = None
-    for (wide,) in sketched.select("wide").distinct().collect():  # at most ``width`` values
+    for wide in widths:
         minima = scratch.save(sketched.where(F.col("wide") == wide).select("item", F.explode("sketch").alias("h")), f"minima{wide}")
         hashes = split.select("row_key", F.explode(shingle_hashes(F.col("words"), wide)).alias("h"))
         found = hashes.join(broadcast_if_small(minima), "h").select("row_key", "item").distinct()
         candidates = found if candidates is None else candidates.union(found)
     if candidates is None:
-        candidates = split.select("row_key", F.lit(None).cast("long").alias("item")).where(F.lit(False))
+        return _none(texts, sketched)
     candidates = scratch.save(candidates, "candidates")
     spaced = F.concat(F.lit(" "), F.concat_ws(" ", words_of(F.col("text"))), F.lit(" "))
-    held = texts.join(candidates.groupBy("row_key").agg(F.collect_set("item").alias("wanted")), "row_key").select("row_key", "doc_id", spaced.alias("spaced"), F.explode("wanted").alias("item"))
+    rows = texts.join(candidates.select("row_key").distinct(), "row_key", "left_semi").select("row_key", "doc_id", spaced.alias("spaced"))
+    rows = scratch.save(rows, "candidate_texts")
     wanted = sketched.select("item", "item_id", "n_shingles", "shingles")
-    if wanted.limit(10_001).count() <= 10_000:
-        wanted = F.broadcast(wanted)
     shared = F.size(F.filter("shingles", lambda s: F.contains(F.col("spaced"), F.concat(F.lit(" "), s, F.lit(" ")))))
-    verified = held.join(wanted, "item").select("row_key", "doc_id", "item", "item_id", "n_shingles", shared.alias("shared"))
-    share = F.col("shared") / F.col("n_shingles")
-    kept = verified.where(F.round(share, 9) >= containment)
-    best = kept.groupBy("row_key", "doc_id", "item", "item_id", "n_shingles").agg(F.max("shared").alias("shared"))
-    return best.select("row_key", "doc_id", "item_id", "shared", "n_shingles", share.alias("containment"))
+    verified = candidates.join(wanted, "item").join(rows, "row_key").select("row_key", "doc_id", "item", "item_id", "n_shingles", shared.alias("shared"))
+    return verified.groupBy("row_key", "doc_id", "item", "item_id", "n_shingles").agg(F.max("shared").alias("shared"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
