@@ -93,12 +93,14 @@ def expected_copies(classes: DataFrame, targets: DataFrame, max_copies: int = MA
     )
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED,
+    keep: list[str] | None = None, copies_name: str = "copies",
+) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every
-    row; ``keep`` names further columns to carry along."""
+    row; with ``keep``, these columns and the copies under ``copies_name``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    carried = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep or [])]
+    carried = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep or [])]
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *carried)
     number, g = length_class(F.col("size"))
@@ -140,6 +142,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sampled = (F.col("part") > 0) & (F.col("size") > 0) & (F.floor(F.col("rank_key") * BINS) < F.col("end"))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(sampled, 1).otherwise(F.coalesce("extra", F.lit(0)))).otherwise(0).cast("long")
     out = out.withColumn("copies", copies)
-    return out.select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep or []))
-    )
+    if keep is not None:
+        return out.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), F.col("copies").alias(copies_name))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

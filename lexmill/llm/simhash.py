@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,12 @@ from .components import connected_components
 
 SEED = 42
 BITS = 64
-BLOCK = 2048
+BLOCK = 4096
 #: Fingerprints of a bucket that are there by chance, at most, on the average.
-CHANCE = 8
+#: Up to some thousand lanes, a query costs nearly the same.
+CHANCE = 1024
+#: Buckets that a fingerprint is filed in, at most.
+MOST_TABLES = 66
 #: Hashes that are counted at a time.
 CHUNK = 1 << 16
 
@@ -142,9 +146,9 @@ def blocks_for(n: int, radius: int) -> list[tuple[int, ...]]:
     """Masks of the bits that candidates share: pairs within the radius leave
     at least k - radius of k blocks untouched. More blocks make longer keys;
     the fewest that keep chance buckets small are taken."""
-    for k in range(radius + 1, BITS):
-        if n / 2 ** (BITS * (k - radius) / k) <= CHANCE or k == 3 * radius + 2:
-            break
+    k = radius + 1
+    while n / 2 ** (BITS * (k - radius) / k) > CHANCE and comb(k + 1, radius) <= MOST_TABLES:
+        k += 1
     edges = [BITS * i // k for i in range(k + 1)]
     masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(k)]
     return [sum(masks[i] for i in chosen) for chosen in combinations(range(k), k - radius)]
@@ -187,3 +191,136 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = scratch.save(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least_ids")
     of_fp = scratch.save(rooted.join(least, "root").select("fp", "component_id"), "of_fp")
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def word_fingerprint(text: str | None) -> int:
+    """Majority bits over the distinct words. Texts that share most shingles
+    share nearly all words, so that their distance is small."""
+    words = set((text or "").encode().lower().split())
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at:at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """(position, root) for all but the roots of the groups that pairs of
+    exact Jaccard similarity form among sets of distinct hashes."""
+    sizes = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(ids, kind="stable")
+    posted, starts = owner[order], np.searchsorted(ids[order], np.arange(ids.max() + 2))
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    left, out = np.ones(len(sets), bool), []
+    for root in range(len(sets)):
+        if not left[root]:
+            continue
+        left[root] = False
+        queue = [root]
+        while queue and left.any():
+            q = queue.pop()
+            met = np.concatenate([posted[starts[i]:starts[i + 1]] for i in own[q]])
+            shared = np.bincount(met, minlength=len(sets))
+            found = np.flatnonzero(left & (shared >= similarity * (sizes[q] + sizes - shared) - 1e-9))
+            left[found] = False
+            queue.extend(found.tolist())
+            out.extend((int(i), root) for i in found)
+    return out
+
+
+#: Texts and characters that a block of texts to verify has on the average, at most.
+SET_BLOCK, BLOCK_CHARS = 512, 4_000_000
+#: Narrow rows (two numbers), at most, that the deduplication broadcasts.
+NARROW_ROWS = 1_000_000
+
+
+def similar_groups(docs: DataFrame, scratch: Scratch, width: int, similarity: float, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """(tk, doc_id, keep) of all rows: tk tells texts apart, and keep marks
+    one (tk, doc_id) of each group: the smallest id, nulls last."""
+    chars = F.coalesce(F.length(text_col), F.lit(0)).cast("long")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(text_col).alias("tk"), chars.alias("chars"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = pa.array([word_fingerprint(t) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tk", "chars")), fps], ["doc_id", "tk", "chars", "fp"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    marked = scratch.save(map_batches(texts, mark, f"doc_id {kind}, tk long, chars long, fp long"), "marked")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    distinct = scratch.save(marked.groupBy("tk").agg(F.first("fp").alias("fp"), F.first("chars").alias("chars"), first.alias("least")), "distinct")
+    fps = scratch.save(distinct.groupBy("fp").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")), "fps")
+    near = connected_components(scratch.save(links(fps.select("fp"), scratch, radius), "near_links"), scratch)
+    rooted = fps.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "chars", F.coalesce("root", "fp").alias("root"))
+    rooted = scratch.save(rooted, "near_roots")
+    sizes = rooted.groupBy("root").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).where("n > 1")
+    n_blocks = F.ceil(F.greatest(F.col("n") / SET_BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int")
+    sizes = scratch.save(sizes.select("root", F.least(n_blocks, F.col("n")).cast("int").alias("n_blocks")), "near_sizes")
+    blocks = scratch.save(rooted.join(sizes, "root").select("fp", "root", "n_blocks"), "near_blocks")
+    wanted = scratch.save(distinct.join(blocks, "fp").select("tk", F.col("least.doc_id").alias("least_id"), "root", "n_blocks"), "wanted")
+
+    found = texts.join(broadcast_if_small(wanted, NARROW_ROWS), "tk").where(F.col("doc_id").eqNullSafe(F.col("least_id")))
+    own = F.pmod(F.xxhash64("tk"), F.col("n_blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_blocks") - 2, F.lit(0))), lambda i: i + (i >= F.col("own")).cast("int"))
+    others = F.when(F.col("n_blocks") == 1, F.array(F.lit(0))).otherwise(pairs)
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("tk", "root", "own", "others")] + [pa.array(sets, pa.list_(pa.int64()))], ["tk", "root", "own", "others", "hashes"])
+
+    found = found.withColumn("own", own).withColumn("others", others).select("tk", "root", "own", "others", "text")
+    found = map_batches(found, shingle, "tk long, root long, own int, others array<int>, hashes array<long>")
+    dealt = found.withColumn("other", F.explode("others")).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tk", "hashes")
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groups_of(batches, ["root", "i", "j"]):
+            sets = dict(zip(group["tk"].to_pylist(), (np.asarray(x.values) for x in group["hashes"])))
+            keys, sets = list(sets), list(sets.values())
+            empty = [k for k, x in enumerate(sets) if not len(x)]
+            some = [k for k, x in enumerate(sets) if len(x)]
+            edges = [(keys[k], keys[empty[0]]) for k in empty[1:]]
+            if len(some) > 1:
+                edges += [(keys[some[a]], keys[some[b]]) for a, b in similar_forest([sets[k] for k in some], similarity)]
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["a", "b"])
+
+    edges = scratch.save(map_batches(dealt, run, "a long, b long"), "similar_links")
+    same = connected_components(edges, scratch)
+    grouped = distinct.join(same.withColumnRenamed("node", "tk"), "tk", "left").select("tk", "least", F.coalesce("root", "tk").alias("root"))
+    grouped = scratch.save(grouped, "grouped")
+    best = scratch.save(grouped.groupBy("root").agg(F.min(F.struct("least", "tk")).alias("best")), "best")
+    chosen = grouped.join(best, "root").where(F.col("tk") == F.col("best.tk")).select("tk", F.col("least.doc_id").alias("kept_id"))
+    chosen = scratch.save(chosen, "chosen")
+    mine = F.col("chosen") & F.col("kept_id").eqNullSafe(F.col("doc_id"))
+    return marked.join(chosen.withColumn("chosen", F.lit(True)), "tk", "left").select("tk", "doc_id", F.coalesce(mine, F.lit(False)).alias("keep"))
+
+
+def text_key(text_col: str):
+    return F.xxhash64(F.lit(11), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without near-duplicates: the row with the smallest id of each
+    group, with all its columns. Groups are closed over pairs of texts whose
+    sets of word shingles have the Jaccard similarity or more; candidates are
+    texts whose word fingerprints differ in at most ``radius`` bits, and all of
+    them are verified on whole texts. Equal texts are always one group; of rows
+    that are equal in id and text one stays."""
+    scratch = Scratch(docs.sparkSession, "dedup")
+    marked = scratch.save(similar_groups(docs, scratch, width, similarity, radius, id_col, text_col), "verdicts")
+    keep = docs.withColumn("_tk", text_key(text_col))
+    gone = scratch.save(marked.where("NOT keep").select(F.col("tk").alias("_gone"), F.col("doc_id").alias("_gone_id")).distinct(), "gone")
+    left = keep.join(broadcast_if_small(gone, NARROW_ROWS), (F.col("_tk") == F.col("_gone")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left_anti")
+    twice = scratch.save(marked.where("keep").groupBy("tk", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select("tk").distinct(), "twice")
+    if twice.isEmpty():
+        return left.drop("_tk")
+    repeated = twice.withColumnRenamed("tk", "_gone")
+    single = left.join(broadcast_if_small(repeated), F.col("_tk") == F.col("_gone"), "left_anti")
+    again = left.join(broadcast_if_small(repeated), F.col("_tk") == F.col("_gone"), "left_semi").dropDuplicates(["_tk"])
+    return single.unionByName(again).drop("_tk")
