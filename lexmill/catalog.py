@@ -8,7 +8,7 @@ expressions are read by both engines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import grading, udfs
@@ -92,7 +92,7 @@ def questions(s, d) -> DataFrame:
 def chunks(s, d) -> DataFrame:
     side = F.when(F.col("doc_id") % 2 == 0, "exam").otherwise("answer")
     number = F.floor(F.col("doc_id") / 2).cast("long").cast("string")
-    source = F.concat("lang", F.lit("/"), "source", F.lit("/doc"), number, F.lit("-"), side, F.lit(".md"))
+    source = F.concat(F.lit("bank/doc"), number, F.lit("-"), side, F.lit(".md"))
     return retrieval.window_chunks(table(s, d, "documents"), source)
 
 
@@ -107,8 +107,8 @@ _STOP = "['a','an','and','are','each','for','how','is','many','of','or','the','t
 _INFO = f"list_filter(list_distinct({_TOKENS}), lambda t: NOT list_contains({_STOP}, t))"
 
 CHUNK_SQL = rf"""doc AS (
-  SELECT doc_id, text, length(text) AS n, lang || '/' || source || '/doc' || (doc_id // 2) || '-' || CASE WHEN doc_id % 2 = 0 THEN 'exam' ELSE 'answer' END || '.md' AS source,
-    regexp_replace(lower(lang || source), '[^a-z0-9]', '', 'g') || '/doc' || (doc_id // 2) AS family FROM documents),
+  SELECT doc_id, text, length(text) AS n, 'bank/doc' || (doc_id // 2) || '-' || CASE WHEN doc_id % 2 = 0 THEN 'exam' ELSE 'answer' END || '.md' AS source,
+    'bank/doc' || (doc_id // 2) AS family FROM documents),
 cut AS (SELECT *, unnest(range(0, CASE WHEN n <= 480 THEN 1 ELSE ceil((n - 480) / 400.0)::INT + 1 END)) AS k FROM doc),
 chunk AS (
   SELECT doc_id * 1000 + k AS chunk_id, source, family, k AS pos, CASE WHEN n <= 480 THEN text ELSE {_STRIP.format("substr(text, k::INT * 400 + 1, 480)")} END AS text FROM cut)"""
@@ -196,9 +196,9 @@ vask AS (SELECT query_id * 10 + variant AS query_id, term, count(*)::DOUBLE AS w
 
 @query(
     f"""WITH {INDEX_SQL}, {_VARIANT_SQL}, {_score_sql('vs', 'vask')}, {_top_sql('vhit', 'vs', 5)},
-m AS (SELECT query_id // 10 AS query_id, chunk.source, text, max(score_e9) AS score_e9, min((query_id % 10, rank)) AS seen, arg_max(chunk_id, (score_e9, -(query_id % 10), -rank)) AS chunk_id FROM vhit JOIN chunk USING (chunk_id) GROUP BY ALL),
+m AS (SELECT query_id // 10 AS query_id, chunk.source AS source, text, max(score_e9) AS score_e9, min((query_id % 10, rank)) AS seen, arg_max(chunk_id, (score_e9, -(query_id % 10), -rank)) AS chunk_id FROM vhit JOIN chunk USING (chunk_id) GROUP BY query_id // 10, chunk.source, text),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score_e9 DESC, seen) AS rank, chunk_id, source, score_e9 FROM m)
-SELECT * FROM r WHERE rank <= 15""".replace("SELECT query_id // 10 AS query_id, chunk.source, text,", "SELECT query_id // 10 AS query_id, chunk.source AS source, text,").replace("FROM vhit JOIN chunk USING (chunk_id) GROUP BY ALL", "FROM vhit JOIN chunk USING (chunk_id) GROUP BY query_id // 10, chunk.source, text")
+SELECT * FROM r WHERE rank <= 15"""
 )
 def search_union(s, d):
     q = questions(s, d)
@@ -361,7 +361,7 @@ def snippet_windows(s, d):
     return cut.select("doc_id", "pos", F.md5(F.col("w").cast("binary")).alias("digest"))
 
 
-@query(f"WITH {QA_SQL} SELECT ord, kind, left(regexp_extract(query, '题目：((?s).*)$', 1), 200) AS question, kind AS marked FROM qa".replace("left(regexp_extract(query, '题目：((?s).*)$', 1), 200)", _STRIP.format("regexp_extract(query, '(?s)题目：(.*)$', 1)")))
+@query(f"WITH {QA_SQL} SELECT ord, kind, {_STRIP.format("regexp_extract(query, '(?s)题目：(.*)$', 1)")} AS question, kind AS marked FROM qa")
 def question_parts(s, d):
     return qa_rows(s, d).select("ord", "kind", T.question_text("query").alias("question"), T.question_type("query").alias("marked"))
 
@@ -569,7 +569,7 @@ def option_mapping(s, d):
 
 @query(None)
 def ridge_cross_validation(s, d):
-    rows = table(s, d, "lineitem").where("l_orderkey % 10 = l_orderkey % 10").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
     rows = rows.withColumn("ord", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     out = rerank.cross_validate(rows, "l_orderkey", "ord", "y", ("a", "b"), 3)
     return out.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg("prediction"), 6).alias("mean_prediction"), F.round(F.avg("y"), 6).alias("mean_label"))
@@ -590,8 +590,8 @@ def keep_first(s, d):
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice AS p, (row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_extendedprice DESC, l_linenumber) > 1)::INT AS over FROM lineitem)
-SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY over, p DESC, l_linenumber) AS rank FROM r QUALIFY rank <= 3""".replace("AS over", "AS o").replace("BY over", "BY o")
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice AS p, (row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_extendedprice DESC, l_linenumber) > 1)::INT AS o FROM lineitem)
+SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY o, p DESC, l_linenumber) AS rank FROM r QUALIFY rank <= 3"""
 )
 def cap_refill(s, d):
     rows = table(s, d, "lineitem").withColumn("src", F.col("l_suppkey") % 3)
@@ -655,13 +655,13 @@ def topup_defaults(s, d):
 
 
 @query(
-    """WITH u AS (SELECT l_orderkey, l_partkey, 0 AS p, l_linenumber AS o FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, l_partkey, 1, l_linenumber FROM lineitem WHERE l_discount > 0.05 UNION ALL SELECT l_orderkey, l_partkey, 2, l_linenumber FROM lineitem),
+    """WITH u AS (SELECT l_orderkey, l_partkey, 0 AS p, l_linenumber * 100000 + l_partkey AS o FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, l_partkey, 1, l_linenumber * 100000 + l_partkey FROM lineitem WHERE l_discount > 0.055 UNION ALL SELECT l_orderkey, l_partkey, 2, l_linenumber * 100000 + l_partkey FROM lineitem),
 k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY p, o) = 1)
 SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY p, o) AS rank FROM k QUALIFY rank <= 3"""
 )
 def ordered_union(s, d):
-    rows = table(s, d, "lineitem").withColumn("o", F.col("l_linenumber"))
-    return ranking.ordered_union([rows.where("l_linenumber = 1"), rows.where("l_discount > 0.05"), rows], ["l_orderkey"], "l_partkey", "o", 3).select("l_orderkey", "l_partkey", "rank")
+    rows = table(s, d, "lineitem").withColumn("o", F.col("l_linenumber") * 100000 + F.col("l_partkey"))
+    return ranking.ordered_union([rows.where("l_linenumber = 1"), rows.where("l_discount > 0.055"), rows], ["l_orderkey"], "l_partkey", "o", 3).select("l_orderkey", "l_partkey", "rank")
 
 
 # ---- training sets ------------------------------------------------------------
@@ -783,9 +783,9 @@ def validation_steps(s, d):
     return telemetry.active_step(rows, "user_id", "event_id", "line").select("event_id", "user_id", "step")
 
 
-@query("WITH b AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) SELECT user_id AS stream, event_type AS event, r::VARCHAR AS event_id, 'a' || event_id || chr(10) || ' b' AS data FROM b".replace("'a' || event_id", "'a' || b.event_id").replace("r::VARCHAR AS event_id", "r::VARCHAR AS event_id"))
+@query("WITH b AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) SELECT user_id AS stream, event_type AS event, r::VARCHAR AS event_id, 'a' || b.event_id || chr(10) || ' b' AS data FROM b")
 def sse_events(s, d):
-    rn = F.row_number().over(__import__("pyspark").sql.Window.partitionBy("user_id").orderBy("event_id"))
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     rows = table(s, d, "events").withColumn("r", rn)
     parts = F.array(F.lit(": keepalive"), F.concat(F.lit("event: "), "event_type"), F.concat(F.lit("id: "), F.col("r").cast("string")), F.concat(F.lit("data: a"), F.col("event_id").cast("string")), F.lit("data:  b"), F.lit(""))
     lines = rows.select(F.col("user_id").alias("stream"), "r", F.posexplode(parts).alias("p", "line")).select("stream", (F.col("r") * 10 + F.col("p")).alias("line_no"), "line")
