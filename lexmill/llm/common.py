@@ -59,8 +59,16 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, label: str) -> None:
-        self._fs.delete(self._path(f"{self.base}/{label}"), True)
+    def drop(self, *labels: str) -> None:
+        for label in labels:
+            self._fs.delete(self._path(f"{self.base}/{label}"), True)
+
+    def keep(self, *labels: str) -> None:
+        """Drops all tables but these."""
+        if self._fs.exists(self._path(self.base)):
+            for found in self._fs.listStatus(self._path(self.base)):
+                if found.getPath().getName() not in labels:
+                    self._fs.delete(found.getPath(), True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -246,6 +246,7 @@ def near_duplicates(
     known = scratch.save(known.select("label", "vec", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root")), "known")
     least = scratch.save(known.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     known = scratch.save(known.join(least, "root").select("label", "vec", "n_links", "component_id"), "named")
+    scratch.keep("named")
     joined = rows.join(known, ["label", "vec"], "left")
     own = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(False)).alias("kept"))
