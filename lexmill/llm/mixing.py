@@ -14,8 +14,9 @@ per (source, rank bin) are combined before they are shuffled, and only the bin
 in which a source's sample ends, about one of 16,384, is ordered.
 
 Cases: a null text has size 0 and is never taken; a null source is a source of
-its own, after all others; a null id is hashed like any other value; repeated
-rows are separate documents; with no words at all every target is 0; an empty
+its own, after all others; a null id is hashed like any other value; rows
+that are equal in id, source and text share their random number and are taken
+together; with no words at all every target is 0; an empty
 table gives an empty result. Only the named columns are read.
 """
 
@@ -100,14 +101,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row; with ``keep``, these columns and the copies under ``copies_name``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    carried = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep or [])]
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *carried)
+    carried = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep or [])]
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(id_col, source_col, text_col).alias("rid"), *carried)
     number, g = length_class(F.col("size"))
     skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    base = base.select("*", number.alias("class"), g.alias("g"), skey.alias("skey"), uniform(F.col("doc_id"), seed).alias("u"), F.monotonically_increasing_id().alias("rid"))
-    keyed = scratch.save(base, "keyed")
-    rows = keyed.drop(*(f"kept_{i}" for i in range(len(carried))))
+    base = base.select("*", number.alias("class"), g.alias("g"), skey.alias("skey"), uniform(F.col("doc_id"), seed).alias("u"))
+    rows = scratch.save(base.drop(*(f"kept_{i}" for i in range(len(carried)))), "keyed")
+    keyed = base if carried else rows  # texts to carry are read again rather than stored
 
     sums = scratch.save(rows.groupBy("skey", "source", "class", "g").agg(F.sum("size").alias("words")), "sums")
     targets = source_targets(sums.groupBy("skey", "source").agg(F.sum("words").alias("source_size")))
@@ -135,7 +136,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("off") < F.col("quota") - F.col("got"))
     )
     fitting = left.groupBy("skey").agg(F.min(F.struct("off", "rank_key", "doc_id", "size", "rid")).alias("x")).select("x.rid")
-    extra = scratch.save(closing.where("picked").select("rid").union(fitting), "extra").withColumn("extra", F.lit(1))
+    extra = scratch.save(closing.where("picked").select("rid").union(fitting).distinct(), "extra").withColumn("extra", F.lit(1))
 
     out = keyed.join(plan, ["skey", "class"]).join(broadcast_if_small(ends), "skey", "left").withColumn("rank_key", odds_key)
     out = out.join(broadcast_if_small(extra), "rid", "left")
