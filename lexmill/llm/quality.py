@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +76,7 @@ def _look(shape: bytes) -> tuple[bytes, bool, int, int, int, bool, bool]:
         body = shape.rstrip(b".,;:?!")
         prose = len(shape) - len(body) <= 1 and body[1:] == b"a" * (len(body) - 1) and body[:1] in (b"a", b"A")
         known = (_squeeze(shape), prose, signs, shape.count(b"A"), letters, not letters and b"0" not in shape, len(shape) > 2 and all(c not in b"aA0" for c in shape[-2:]))
-        if len(_KNOWN) < 100_000:
+        if len(_KNOWN) < 20_000:
             _KNOWN[shape] = known
     return known
 
@@ -238,9 +237,9 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample:
 
 
 def score_column(model: Model, text: Column) -> Column:
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
 
     return score(text)
 

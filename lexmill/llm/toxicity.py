@@ -28,7 +28,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,9 +171,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     small_batches(docs.sparkSession)
     model = chain or fit(docs, labels, id_col, text_col)
 
-    @F.pandas_udf("array<double>")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(model.predict(model.rows(list(texts)))))
+    @F.arrow_udf("array<double>")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(model.predict(model.rows(texts.to_pylist())).tolist(), pa.list_(pa.float64()))
 
     scored = docs.withColumn("_p", score(F.col(text_col)))
     scored = scored.withColumns({f"p_{c}": F.get("_p", k) for k, c in enumerate(CATEGORIES)}).drop("_p")
