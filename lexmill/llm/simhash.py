@@ -39,7 +39,7 @@ BITS = 64
 BLOCK = 4096
 #: Fingerprints of a bucket that are there by chance, at most, on the average.
 #: Up to some thousand lanes, a query costs nearly the same.
-CHANCE = 1024
+CHANCE = 4096
 #: Buckets that a fingerprint is filed in, at most.
 MOST_TABLES = 66
 #: Hashes that are counted at a time.
@@ -190,6 +190,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rooted = scratch.save(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = scratch.save(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least_ids")
     of_fp = scratch.save(rooted.join(least, "root").select("fp", "component_id"), "of_fp")
+    scratch.keep("marked", "of_fp")
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -318,6 +319,7 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     gone = scratch.save(marked.where("NOT keep").select(F.col("tk").alias("_gone"), F.col("doc_id").alias("_gone_id")).distinct(), "gone")
     left = keep.join(broadcast_if_small(gone, NARROW_ROWS), (F.col("_tk") == F.col("_gone")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left_anti")
     twice = scratch.save(marked.where("keep").groupBy("tk", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select("tk").distinct(), "twice")
+    scratch.keep("gone", "twice")
     if twice.isEmpty():
         return left.drop("_tk")
     repeated = twice.withColumnRenamed("tk", "_gone")
