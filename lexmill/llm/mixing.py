@@ -81,8 +81,10 @@ def expected_copies(classes: DataFrame, targets: DataFrame, max_copies: int = MA
     filling = by_source.orderBy("class")  # from the heaviest weight to the lightest
     rows = classes.join(targets, "skey").withColumn(
         "level",
-        (F.col("target") - max_copies * F.coalesce(F.sum("words").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        / F.sum(F.col("g") * F.col("words")).over(filling.rowsBetween(0, Window.unboundedFollowing)),
+        F.try_divide(
+            F.col("target") - max_copies * F.coalesce(F.sum("words").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            F.sum(F.col("g") * F.col("words")).over(filling.rowsBetween(0, Window.unboundedFollowing)),
+        ),
     )
     first = F.min(F.when(F.col("level") * F.col("g") <= max_copies, F.struct("class", "level"))).over(by_source)
     copies = F.when(F.col("class") < F.coalesce("first.class", F.lit(99)), F.lit(float(max_copies))).otherwise(F.least(F.col("first.level") * F.col("g"), F.lit(float(max_copies))))
