@@ -115,7 +115,7 @@ def _above(junk: float, prose: float | None = None):
 #: (name, what it looks at, vote). They overlap: most junk meets several. A
 #: defect's absence says little, so that most vote on junk alone.
 LABELLERS = (
-    ("prose_shape", lambda s: 1 - s.prose, _above(0.4, 0.1)),
+    ("prose_shape", lambda s: 1 - s.prose, _above(0.47, 0.1)),
     ("symbols", lambda s: s.symbols, _above(0.12)),
     ("capitals", lambda s: s.capitals, _above(0.6)),
     ("bars", lambda s: s.bars, _above(0.2)),
@@ -140,14 +140,16 @@ def votes_of(p: int) -> list[int]:
 def estimate(counts: dict[int, int], rounds: int = ROUNDS) -> tuple[dict[int, float], dict[str, float], float]:
     """Posterior of prose by pattern, the labellers' accuracies and the share of
     prose, by expectation-maximisation. An accuracy is the probability that a
-    vote is right; labellers that do not vote say nothing."""
+    vote is right; labellers that do not vote say nothing. The share is that of
+    the majority votes and is held: most labellers vote on junk alone, so that
+    the votes do not tell a low share from low accuracies."""
     patterns = sorted(counts)
     votes = np.array([votes_of(p) for p in patterns]).reshape(len(patterns), len(LABELLERS))
     n = np.array([counts[p] for p in patterns], float)
-    good = np.where((votes == JUNK).any(1), 0.05, 0.95)
-    accuracy, share = np.full(len(LABELLERS), 0.8), 0.5
+    lead = (votes == PROSE).sum(1) - (votes == JUNK).sum(1)
+    good = np.select([lead > 0, lead < 0], [0.95, 0.05], 0.5)  # the majority, to begin with
+    accuracy, share = np.full(len(LABELLERS), 0.8), (n @ good + 1) / (n.sum() + 2)
     for _ in range(rounds):
-        share = (n @ good + 1) / (n.sum() + 2)
         for i in range(len(LABELLERS)):
             junk, prose = n * (votes[:, i] == JUNK), n * (votes[:, i] == PROSE)
             accuracy[i] = (junk @ (1 - good) + prose @ good + 4) / (junk.sum() + prose.sum() + 5)
