@@ -91,53 +91,59 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 1000, l2: float = 1e-5) -> tuple[np.ndarray, float]:
-    w, speed = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
-    x = np.column_stack([x, np.ones(len(x), x.dtype)])
-    hold = np.r_[np.full(len(w) - 1, l2), 0]
+def _logistic(x: np.ndarray, earlier: np.ndarray, y: np.ndarray, steps: int = 400, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+    """By gradient steps with momentum. Texts without any feature, which are
+    most, differ in the earlier probabilities and the label alone; equal ones
+    are one row with a weight."""
+    some = x.any(1)
+    few, weight = np.unique(np.column_stack([earlier[~some], y[~some]]), axis=0, return_counts=True)
+    bare = np.column_stack([np.zeros((len(few), x.shape[1])), few[:, :-1]])
+    rows = np.column_stack([np.vstack([np.column_stack([x[some], earlier[some]]), bare]), np.ones(some.sum() + len(few))]).astype(np.float32)
+    target = np.r_[y[some], few[:, -1]].astype(np.float32)
+    share = (np.r_[np.ones(some.sum()), weight] / max(1, len(y))).astype(np.float32)
+    w, speed = np.zeros(rows.shape[1], np.float32), np.zeros(rows.shape[1], np.float32)
+    hold = np.r_[np.full(len(w) - 1, l2), 0].astype(np.float32)
     for _ in range(steps):
-        speed = 0.9 * speed - 0.8 * (x.T @ (_sigmoid(x @ w) - y) / max(1, len(y)) + hold * w)
+        speed = 0.9 * speed - 1.6 * ((share * (_sigmoid(rows @ w) - target)) @ rows + hold * w)
         w = w + speed
-    return w[:-1], float(w[-1])
+    return w[:-1].astype(float), float(w[-1])
 
 
-def fit_chain(features: list[dict[int, int]], toxic: np.ndarray, folds: np.ndarray) -> Chain:
-    """A chain from the sample's features, labels and fold numbers."""
+def fit_chain(features: list[np.ndarray], places: list[np.ndarray], toxic: np.ndarray, folds: np.ndarray) -> Chain:
+    """A chain from the sample: each text's features and the places of each,
+    its label and its fold."""
     chain = Chain()
     n_pos, n_neg = int(toxic.sum()), int((1 - toxic).sum())
     if not n_pos or not n_neg:
         return chain
-    pos: dict[int, int] = {}
-    neg: dict[int, int] = {}
-    for f, t in zip(features, toxic):
-        seen = pos if t else neg
-        for i in f:
-            seen[i] = seen.get(i, 0) + 1
-    ratio = {i: (k / n_pos) / ((neg.get(i, 0) + 0.5) / n_neg) for i, k in pos.items() if k >= min(LEAST_TEXTS, n_pos)}
-    chosen = sorted((i for i, r in ratio.items() if r >= LEAST_RATIO), key=lambda i: (-pos[i] * ratio[i], i))[:MOST_FEATURES]
-    chain.used = {i: k for k, i in enumerate(chosen)}
-    abusive = {i for i in chosen if not neg.get(i, 0)}
+    at = np.concatenate(features)
+    text = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
+    n_at = np.concatenate(places)
+    pos, neg = (np.bincount(at[toxic[text] == t], minlength=1 << HASH_BITS) for t in (1, 0))
+    ratio = (pos / n_pos) / ((neg + 0.5) / n_neg)
+    chosen = np.flatnonzero((pos >= min(LEAST_TEXTS, n_pos)) & (ratio >= LEAST_RATIO))
+    chosen = chosen[np.argsort(-pos[chosen] * ratio[chosen], kind="stable")][:MOST_FEATURES]
+    chain.used = {int(i): k for k, i in enumerate(chosen)}
+    column = np.full(1 << HASH_BITS, -1, np.int32)
+    column[chosen] = np.arange(len(chosen))
+    used = column[at] >= 0
     x = np.zeros((len(features), len(chosen)), np.float32)
-    places, kinds = np.zeros(len(features)), np.zeros(len(features))
-    for k, f in enumerate(features):
-        for i, n in f.items():
-            if i in chain.used:
-                x[k, chain.used[i]] = 1
-                if i in abusive:
-                    places[k] += n
-                    kinds[k] += 1
+    x[text[used], column[at[used]]] = 1
+    abusive = used & (neg[at] == 0)
     # a word and its start are two features of one word
-    targets = [toxic.astype(float), toxic * (places >= 6), toxic * (kinds >= 6)]
+    n_places = np.bincount(text[abusive], n_at[abusive], len(features)) / 2
+    kinds = np.bincount(text[abusive], minlength=len(features)) / 2
+    del at, text, n_at, used, abusive, pos, neg, ratio
+    targets = [toxic.astype(float), toxic * (n_places >= 3), toxic * (kinds >= 3)]
     earlier = np.zeros((len(x), 0))
     for y in targets:
-        both = np.column_stack([x, earlier])
         out_of_fold = np.zeros(len(x))
         for fold in range(FOLDS):
             held = folds == fold
             if held.any():
-                w, b = _logistic(both[~held], y[~held])
-                out_of_fold[held] = _sigmoid(both[held] @ w + b)
-        w, b = _logistic(both, y)
+                w, b = _logistic(x[~held], earlier[~held], y[~held])
+                out_of_fold[held] = _sigmoid(x[held] @ w[: x.shape[1]] + earlier[held] @ w[x.shape[1] :] + b)
+        w, b = _logistic(x, earlier, y)
         chain.models.append((w[: x.shape[1]], b, w[x.shape[1] :]))
         earlier = np.column_stack([earlier, out_of_fold])
     return chain
@@ -161,9 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             )
 
     got = map_batches(texts.select(F.col("id").cast("long").alias("id"), "y", "text"), run, "id long, y int, at array<int>, n array<int>").limit(3 * per_class).toArrow()
-    rows = sorted(zip(got["id"].to_pylist(), got["y"].to_pylist(), (np.array(x, np.int64) for x in got["at"].to_pylist()), (np.array(x, np.int64) for x in got["n"].to_pylist())), key=lambda r: (r[0], r[1], len(r[2])))
-    folds = np.array([zlib.crc32(str(r[0]).encode()) % FOLDS for r in rows])
-    return fit_chain([dict(zip(r[2].tolist(), r[3].tolist())) for r in rows], np.array([r[1] for r in rows]), folds)
+    ids, y = got["id"].to_numpy(), got["y"].to_numpy()
+    order = np.lexsort((y, ids))
+    at, n = (list(np.split(c.flatten().to_numpy(), np.cumsum(np.diff(c.offsets.to_numpy()))[:-1])) for c in (got[k].combine_chunks() for k in ("at", "n"))) if len(ids) else ([], [])
+    folds = np.array([zlib.crc32(str(ids[k]).encode()) % FOLDS for k in order])
+    return fit_chain([at[k] for k in order], [n[k] for k in order], y[order], folds)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: Chain | None = None) -> DataFrame:
