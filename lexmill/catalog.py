@@ -101,6 +101,7 @@ def index(s, d) -> retrieval.Index:
 
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_BODY = _STRIP.format(r"regexp_extract(expected_answer, '(?s)^\s*\[\w+\]\s*(.*)$', 1)")
 _TOKENS = "regexp_extract_all(lower({}), '[a-z0-9][a-z0-9_.+-]*')"
 _COMPACT = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
 _STOP = "['a','an','and','are','each','for','how','is','many','of','or','the','there','to','what','which']"
@@ -375,7 +376,7 @@ def expected_items(s, d):
     return rows.select("ord", T.expected_type("expected_answer").alias("kind"), F.array_join(F.transform(T.gold_items("expected_answer"), lambda i: F.array_join(i, "/")), "|").alias("items"))
 
 
-@query(rf"""WITH {QA_SQL}, b AS (SELECT ord, kind, {_STRIP.format("regexp_extract(expected_answer, '(?s)^\s*\[\w+\]\s*(.*)$', 1)")} AS body FROM qa)
+@query(rf"""WITH {QA_SQL}, b AS (SELECT ord, kind, {_BODY} AS body FROM qa)
 SELECT ord, CASE WHEN kind IN ('fill', 'short') THEN array_to_string(list_filter(list_transform(string_split(body, '|||'), lambda i: trim(string_split_regex(i, '[/／]')[1])), lambda x: x <> ''), '; ') ELSE body END AS payload, regexp_replace(body, '\s*\|\|\|\s*', '; ', 'g') AS memory FROM b""")
 def answer_payloads(s, d):
     return qa_rows(s, d).select("ord", T.answer_payload("expected_answer").alias("payload"), T.memory_payload("expected_answer").alias("memory"))
@@ -415,7 +416,7 @@ def log_clean(s, d):
 _LOOSE = r"""regexp_replace(lower({}), '[，,。．\.、；;：:！!？\?"''`（）()【】\[\]/／\\\s]+', '', 'g')"""
 _L = _LOOSE.format
 _GRADE_SQL = rf"""gr AS (
-  SELECT *, nullif(regexp_extract(completion, '\\boxed\s*\{{([^{{}}]*)\}}', 1), '') AS box, {_STRIP.format("regexp_extract(expected_answer, '(?s)^\s*\[\w+\]\s*(.*)$', 1)")} AS gold FROM done),
+  SELECT *, nullif(regexp_extract(completion, '\\boxed\s*\{{([^{{}}]*)\}}', 1), '') AS box, {_BODY} AS gold FROM done),
 gp AS (SELECT *, list_sort(list_distinct(regexp_extract_all(upper(box), '[A-Z]'))) AS pl, list_sort(list_distinct(regexp_extract_all(upper(gold), '[A-Z]'))) AS gl, string_split(gold, '|||') AS blanks,
   list_filter(string_split_regex(box, '[;；\n]'), lambda p: trim(p) <> '') AS parts FROM gr),
 graded AS (
