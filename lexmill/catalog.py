@@ -327,10 +327,11 @@ _PAIR_SQL = "pair AS (SELECT b.item_id, d.doc_id, left(b.text, 120) AS q, left(d
 
 
 def _pairs(s, d):
+    """Whole documents beside whole items; _PAIR_SQL states a prefix of both."""
     items, docs = table(s, d, "benchmark"), table(s, d, "documents")
     n = items.count()
-    left = items.select("item_id", F.left("text", F.lit(120)).alias("q"))
-    return docs.select("doc_id", (F.col("doc_id") % n).alias("item_id"), F.left("text", F.lit(600)).alias("t")).join(F.broadcast(left) if n <= 100_000 else left, "item_id")
+    left = items.select("item_id", F.col("text").alias("q"))
+    return docs.select("doc_id", (F.col("doc_id") % n).alias("item_id"), F.col("text").alias("t")).join(F.broadcast(left) if n <= 100_000 else left, "item_id")
 
 
 _SENT = r"list_transform(string_split_regex(t, '[\n\r。！？!?；;]+'), lambda s: least(1.0, len(list_intersect(a, " + _TOKENS.format("s") + ")) / len(a)::DOUBLE + CASE WHEN regexp_matches(s, '(?i)是|为|通过|包括|包含|共有|分别|等于|采用|使用|由.{0,24}组成|consists?\\s+of|includes?|contains?|there\\s+(?:is|are)|\\b(?:has|have)\\b') THEN 0.2 ELSE 0 END))".replace("\\\\", "\\")
