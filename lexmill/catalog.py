@@ -3,7 +3,7 @@
 The tables hold no exam rows, so small adapters make them: windows of
 documents as chunks, benchmark items as questions with answers in every type,
 completions of every quality, conversations as tagged episodes. The adapters'
-expressions are read by both engines.
+expressions are read by both engines, but only the plans read whole texts.
 """
 
 from __future__ import annotations
@@ -61,9 +61,14 @@ def _select(exprs: dict[str, str], source: str, where: str = "") -> str:
     return f"SELECT {', '.join(f'{e} AS {n}' for n, e in exprs.items())} FROM {source} {where}"
 
 
+def _whole(expr: str) -> str:
+    """An adapter's expression over whole items, of which the SQL reads 120 characters."""
+    return expr.replace("left(text, 120)", "text")
+
+
 def _expr(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
-    # the one difference: Spark's literals read backslashes, of which there is none here
-    return df.selectExpr(*(f"{e} AS {n}" for n, e in exprs.items()))
+    # besides whole items the one difference: Spark's literals read backslashes, of which there is none here
+    return df.selectExpr(*(f"{_whole(e)} AS {n}" for n, e in exprs.items()))
 
 
 QA_SQL = f"qa AS ({_select(_QA, 'benchmark')} UNION ALL {_select(_QA_AGAIN, 'benchmark', 'WHERE item_id % 7 = 0')})"
@@ -86,7 +91,7 @@ def messages(s, d) -> DataFrame:
 
 
 def questions(s, d) -> DataFrame:
-    return table(s, d, "benchmark").selectExpr("item_id AS query_id", "left(text, 120) AS query")
+    return table(s, d, "benchmark").selectExpr("item_id AS query_id", "text AS query")
 
 
 def chunks(s, d) -> DataFrame:
@@ -491,7 +496,7 @@ _SYN_WORDS = "regexp_extract_all(lower(left(text, 120)), '[a-z]+')"
 
 @query(f"SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(w, CASE WHEN item_id % 4 = 0 THEN ['wafer', '晶圆', '硅片'] WHEN item_id % 4 = 1 THEN ['no', '错', '错误', '否', 'false', '×'] ELSE [] END))), ',') AS words FROM (SELECT item_id, list_distinct(list_concat({_SYN_WORDS}[1:2], CASE WHEN item_id % 4 = 0 THEN ['wafer'] WHEN item_id % 4 = 1 THEN ['no'] ELSE [] END)) AS w FROM benchmark)")
 def synonym_expand(s, d):
-    words = F.slice(F.regexp_extract_all(F.lower(F.left("text", F.lit(120))), F.lit("[a-z]+"), F.lit(0)), 1, 2)
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     more = F.expr("CASE WHEN item_id % 4 = 0 THEN array('wafer') WHEN item_id % 4 = 1 THEN array('no') ELSE CAST(array() AS array<string>) END")
     out = grading.expand_synonyms(F.array_distinct(F.concat(words, more)))
     return table(s, d, "benchmark").select("item_id", F.array_join(F.array_sort(F.array_distinct(out)), ",").alias("words"))
@@ -698,7 +703,7 @@ _SHORT_SQL = f"SELECT item_id * 100 AS ord, left(text, 30) AS query, CASE WHEN i
 
 @query(f"WITH {QA_SQL} SELECT query, expected_answer FROM qa UNION ALL SELECT query, '[short] ' || array_to_string(list_filter(kw, lambda w: trim(w) <> ''), ' ||| ') FROM ({_SHORT_SQL}) WHERE len(list_filter(kw, lambda w: trim(w) <> '')) > 0 AND trim(query) <> ''")
 def prepare_qa(s, d):
-    shorts = table(s, d, "benchmark").selectExpr("left(text, 30) AS query", f"CASE WHEN item_id % 4 = 0 THEN CAST(array() AS array<string>) ELSE array({_W[1]}, {_W[2]}) END AS reference_keywords")
+    shorts = table(s, d, "benchmark").selectExpr("text AS query", _whole(f"CASE WHEN item_id % 4 = 0 THEN CAST(array() AS array<string>) ELSE array({_W[1]}, {_W[2]}) END AS reference_keywords"))
     return datasets.prepare_qa(qa_rows(s, d), shorts)
 
 
