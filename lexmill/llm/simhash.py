@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, groups_of, map_batches
+from .common import Scratch, broadcast_if_small, fit_threshold, groups_of, hash31, map_batches
 from .components import connected_components
 
 SEED = 42
@@ -237,6 +237,93 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 SET_BLOCK, BLOCK_CHARS = 512, 4_000_000
 #: Narrow rows (two numbers), at most, that the deduplication broadcasts.
 NARROW_ROWS = 1_000_000
+#: Texts of the sample that tells common shingles, and shingles told common, at
+#: most. They set the order of prefixes alone: any order finds all pairs.
+ORDER_SAMPLE, ORDER_HOT = 5_000, 100_000
+#: Postings of a prefix shingle that one block holds on the average, at most.
+PREFIX_BLOCK = 1024
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that recur in a sample of texts, and on how many."""
+    some = texts.where(hash31("tk") < fit_threshold(texts.count(), ORDER_SAMPLE)).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, width)).view(np.int64))], ["h"])
+
+    counted = map_batches(some, run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    rows = counted.orderBy(F.desc("n"), "h").limit(ORDER_HOT).collect()
+    hashes, counts = (np.array([r[k] for r in rows], np.int64) for k in ("h", "n"))
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefix(text: str | None, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """The first distinct shingles in one order of all, rare ones first, and
+    how many there are: texts of the similarity share one of the first."""
+    own = np.unique(shingle_hashes(text, width)).view(np.int64)
+    n = len(own)
+    if not n:
+        return own, 0
+    hashes, counts = common
+    seen = np.zeros(n, np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        seen = np.where(hashes[at] == own, counts[at], 0)
+    return own[np.lexsort((own, seen))][:n - int(np.ceil(similarity * n - 1e-9)) + 1], n
+
+
+def pairs_that_may(tk: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different roots whose sizes and places of a shared shingle let
+    them have the similarity."""
+    rest = n - pos
+    for at in range(0, len(tk), 256):
+        part = slice(at, at + 256)
+        most = np.minimum(rest[part, None], rest[None])
+        may = (tk[part, None] < tk[None]) & (root[part, None] != root[None])
+        may &= np.minimum(n[part, None], n[None]) >= similarity * np.maximum(n[part, None], n[None]) - 1e-9
+        # shared before this one at most the lesser place, from it on the lesser rest
+        i, j = np.nonzero(may & (most + np.minimum(pos[part, None], pos[None]) >= similarity / (1 + similarity) * (n[part, None] + n[None]) - 1e-9))
+        if len(i):
+            yield tk[part][i], tk[j]
+
+
+def prefix_links(texts: DataFrame, prefixes: DataFrame, grouped: DataFrame, scratch: Scratch, width: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of texts of the similarity that are in different
+    groups (``grouped``: tk, least, root), found by shared prefix shingles."""
+    known = grouped.select("tk", F.col("least.doc_id").alias("least_id"), "root")
+    mine = prefixes.join(broadcast_if_small(known, NARROW_ROWS), "tk").where(F.col("doc_id").eqNullSafe(F.col("least_id")))
+    postings = mine.select("tk", "root", "size", F.posexplode("prefix").alias("pos", "h"))
+    buckets = postings.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    buckets = scratch.save(buckets.where("low < high").select("h", "n"), "prefix_buckets")
+    dealt = postings.join(broadcast_if_small(buckets, NARROW_ROWS), "h").withColumn("n_blocks", F.ceil(F.col("n") / PREFIX_BLOCK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("tk"), F.col("n_blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_blocks") - 2, F.lit(0))), lambda i: i + (i >= F.col("own")).cast("int"))
+    others = F.when(F.col("n_blocks") == 1, F.array(F.lit(0))).otherwise(pairs)
+    dealt = dealt.withColumn("other", F.explode(others)).select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tk", "root", "size", "pos")
+    dealt = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groups_of(batches, ["h", "i", "j"]):
+            columns = (group.column(c).to_numpy() for c in ("tk", "root", "size", "pos"))
+            for a, b in pairs_that_may(*columns, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    may = scratch.save(map_batches(dealt, run, "a long, b long").distinct(), "prefix_pairs")
+    asked = scratch.save(may.select(F.col("a").alias("tk")).union(may.select("b")).distinct().join(known.select("tk", "least_id"), "tk"), "prefix_asked")
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["tk", "hashes"])
+
+    found = texts.join(broadcast_if_small(asked, NARROW_ROWS), "tk").where(F.col("doc_id").eqNullSafe(F.col("least_id"))).select("tk", "text")
+    sets = scratch.save(map_batches(found, shingle, "tk long, hashes array<long>"), "prefix_sets")
+    both = may.join(sets.select(F.col("tk").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("tk").alias("b"), F.col("hashes").alias("y")), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared")) - 1e-9).select("a", "b").distinct()
 
 
 def similar_groups(docs: DataFrame, scratch: Scratch, width: int, similarity: float, radius: int, id_col: str, text_col: str) -> DataFrame:
@@ -245,13 +332,18 @@ def similar_groups(docs: DataFrame, scratch: Scratch, width: int, similarity: fl
     chars = F.coalesce(F.length(text_col), F.lit(0)).cast("long")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(text_col).alias("tk"), chars.alias("chars"))
 
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([word_fingerprint(t) for t in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tk", "chars")), fps], ["doc_id", "tk", "chars", "fp"])
+            read = batch.column("text").to_pylist()
+            fps = pa.array([word_fingerprint(t) for t in read], pa.int64())
+            first = [prefix(t, width, similarity, common.value) for t in read]
+            more = [pa.array([n for _, n in first], pa.int64()), pa.array([x for x, _ in first], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tk", "chars")), fps, *more], ["doc_id", "tk", "chars", "fp", "size", "prefix"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    marked = scratch.save(map_batches(texts, mark, f"doc_id {kind}, tk long, chars long, fp long"), "marked")
+    marked = scratch.save(map_batches(texts, mark, f"doc_id {kind}, tk long, chars long, fp long, size long, prefix array<long>"), "marked")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
     distinct = scratch.save(marked.groupBy("tk").agg(F.first("fp").alias("fp"), F.first("chars").alias("chars"), first.alias("least")), "distinct")
     fps = scratch.save(distinct.groupBy("fp").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")), "fps")
@@ -295,6 +387,11 @@ def similar_groups(docs: DataFrame, scratch: Scratch, width: int, similarity: fl
     same = connected_components(edges, scratch)
     grouped = distinct.join(same.withColumnRenamed("node", "tk"), "tk", "left").select("tk", "least", F.coalesce("root", "tk").alias("root"))
     grouped = scratch.save(grouped, "grouped")
+    missed = scratch.save(prefix_links(texts, marked, grouped, scratch, width, similarity), "missed_links")
+    if not missed.isEmpty():
+        same = connected_components(scratch.save(edges.union(missed), "all_links"), scratch)
+        grouped = distinct.join(same.withColumnRenamed("node", "tk"), "tk", "left").select("tk", "least", F.coalesce("root", "tk").alias("root"))
+        grouped = scratch.save(grouped, "regrouped")
     best = scratch.save(grouped.groupBy("root").agg(F.min(F.struct("least", "tk")).alias("best")), "best")
     chosen = grouped.join(best, "root").where(F.col("tk") == F.col("best.tk")).select("tk", F.col("least.doc_id").alias("kept_id"))
     chosen = scratch.save(chosen, "chosen")
@@ -309,9 +406,10 @@ def text_key(text_col: str):
 def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near-duplicates: the row with the smallest id of each
     group, with all its columns. Groups are closed over pairs of texts whose
-    sets of word shingles have the Jaccard similarity or more; candidates are
-    texts whose word fingerprints differ in at most ``radius`` bits, and all of
-    them are verified on whole texts. Equal texts are always one group; of rows
+    sets of word shingles have the Jaccard similarity or more. Candidates are
+    texts whose word fingerprints differ in at most ``radius`` bits, then, of
+    different groups so far, texts that share a prefix shingle, which no such
+    pair can fail to do. All are verified on whole texts. Equal texts are always one group; of rows
     that are equal in id and text one stays."""
     scratch = Scratch(docs.sparkSession, "dedup")
     marked = scratch.save(similar_groups(docs, scratch, width, similarity, radius, id_col, text_col), "verdicts")

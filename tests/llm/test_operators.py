@@ -325,6 +325,24 @@ def test_one_of_each_group(spark, monkeypatch, block):
     assert simhash.one_of_each_group(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 2])
+def test_one_of_each_group_misses_no_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "PREFIX_BLOCK", block)
+    rng = random.Random(21)
+    word = lambda: f"w{int(3000 ** rng.random())}"
+    texts = []
+    for k in range(60):
+        words = [word() for _ in range(rng.choice([14, 20, 60, 200]))]
+        more = [word() for _ in range(len(words) // 5)]
+        changed = [words + more, more + words, words[:-1] + ["other"], words[len(words) // 6:]][k % 4]
+        texts += [" ".join(words), " ".join(changed)]
+    texts += [f"the same notice stands in each of these short texts but for the last number {k}" for k in range(12)]
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    low = brute_components([(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8])
+    want = {i for i in range(len(texts)) if low.get(i, i) == i}
+    assert {r.doc_id for r in simhash.one_of_each_group(docs_of(spark, rows)).collect()} == want
+
+
 # ---- 7 decontamination --------------------------------------------------------------------
 
 
