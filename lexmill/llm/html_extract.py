@@ -2,7 +2,7 @@
 
 Every page is parsed into a tree, and the subtrees of its block elements are
 hashed. Spark counts on how many pages of a host each hash occurs; subtrees
-that recur on many pages of their host are templates and are deleted. What the
+that recur on ``MIN_PAGES`` pages of their host are templates and are deleted. What the
 page's markup itself declares to be no article (navigation, footers, adverts,
 forms and the like) is deleted as well, which covers hosts with too few pages
 to tell. Prose inside an article element is never taken for a template: the
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, Scratch, map_batches
 from .url_filter import host_of
 
-#: A subtree is a template if it is on so many pages of its host, and on such a share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.05
+#: A subtree is a template if it is on so many pages of its host, however many the host has.
+MIN_PAGES = 5
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</[^a-zA-Z>][^>]*+(?:>|\Z)"""
@@ -252,30 +252,27 @@ def extract(page: str | None, templates) -> str:
     return article(root, {x & ((1 << 64) - 1) for x in templates})
 
 
-def recurring(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def recurring(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, hash, n) of the subtrees that recur across pages (columns host, html) of a host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[host, None] += 1
                 for h in page_hashes(page):
                     counts[host, h] += 1
             rows = list(counts.items())
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], ["host", "hash", "n"])
 
     counted = map_batches(pages.select("host", "html"), run, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
-    counted = scratch.save(counted.where((F.col("n") >= min_pages) | F.col("hash").isNull()), "counted")
-    totals = counted.where(F.col("hash").isNull()).select("host", F.col("n").alias("pages"))
-    return counted.where(F.col("hash").isNotNull()).join(totals, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash", "n")
+    return counted.where(F.col("n") >= min_pages)
 
 
 def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
     scratch = Scratch(pages.sparkSession, "html")
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    templates = scratch.save(recurring(narrow, scratch), "templates")
+    templates = scratch.save(recurring(narrow), "templates")
 
     if templates.limit(broadcast_rows + 1).count() <= broadcast_rows:
         by_host: dict[str, set[int]] = {}

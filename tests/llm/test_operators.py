@@ -420,6 +420,12 @@ def test_articles_are_no_templates(spark):
     assert {r.text for r in got} == {"Same\n\nSame text"}
 
 
+def test_rare_templates_of_hot_hosts(spark):
+    rows = [(k, f"http://hot/{k}", f"<body><div><p>Text {k} of its own</p></div>{'<div class=\"box\">Read our other section</div>' if k % 50 == 0 else ''}</body>") for k in range(400)]
+    got = html_extract.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Text {k} of its own" for k in range(400)}
+
+
 # ---- 9 quality ----------------------------------------------------------------------------------
 
 
