@@ -52,6 +52,7 @@ EXCEPTION_RELIEF = 0.5
 
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
+LINE_END = re.compile(rb"[\r\n]")
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -65,8 +66,9 @@ def postfix(expression: str) -> list[str] | None:
     out: list[str] = []
     held: list[str] = []
     wants_operand = True
-    best: list[str] | None = None
-    for token in TOKEN.findall(expression):
+    best: tuple[int, list[str]] | None = None
+    for found in TOKEN.finditer(expression):
+        token = found[0]
         low = token.lower()
         if wants_operand:
             if low == "(":
@@ -90,8 +92,8 @@ def postfix(expression: str) -> list[str] | None:
         else:
             break
         if not wants_operand and "(" not in held:
-            best = out + held[::-1]
-    return best
+            best = len(out), held[::-1]
+    return best and out[:best[0]] + best[1]
 
 
 def evaluate(expression: str) -> tuple[set[str], float] | None:
@@ -139,7 +141,8 @@ def scan(text: str | None, trie: ahocorasick.Automaton) -> dict:
         for at, phrase, _ in hits:
             if phrase == TAG:
                 after = spans[int(np.searchsorted(starts, at)) + 2]
-                line = re.split(rb"[\r\n]", raw[after:after + 4096], maxsplit=1)[0].decode(errors="ignore")
+                end = LINE_END.search(raw, after)
+                line = raw[after:end.start() if end else len(raw)].decode(errors="ignore")
                 if got := evaluate(line):
                     labels |= got[0]
                     weight = max(weight, got[1])

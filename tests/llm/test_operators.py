@@ -208,6 +208,13 @@ def brute_places(text, phrase):
     return [i for i in range(len(words)) if words[i:i + len(p)] == p], len(words)
 
 
+def test_license_expressions_of_any_length():
+    names = [f"name-{k}" for k in range(2000)]
+    line = "SPDX-License-Identifier: " + " AND ".join([*names, "GPL-3.0"])
+    got = license_scan.scan(line + "\nOR other", license_scan.automaton({license_scan.TAG: "tag"}))
+    assert got["labels"].split(",") == sorted([*names, "gpl-3.0"]) and got["score"] == license_scan.burden("gpl-3.0")
+
+
 def test_license_places(spark):
     texts = [
         "CC-BY cc by CC BY", "all rights reserved. All rights reserved", "GNU General Public License", "all all rights reserved", "ccby", None, "", "Über cc by ÉTÉ", "cc by " * 20_000,
