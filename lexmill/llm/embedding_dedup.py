@@ -3,16 +3,17 @@
 Vectors are scaled to unit length and cut in half; each half has a codebook of
 its own, and the pairs of codewords are the cells of a product grid. Equal
 vectors of a label are one class. Every class is filed in its cell, and every
-class visits cells from the nearest on (multi-sequence traversal) until the
-target recall is reached; the cosines of what it meets are verified in double
+class visits all cells whose bound is within the reach; the cosines of what it meets are verified in double
 precision on the vectors as given.
 
 How far a cell is from a vector is a bound: the sum over both halves of the
 squared distance from the half to the codeword's side of its bisectors with
 the other codewords. No vector of the cell can be nearer. With the target
-recall of 1 (the default), traversal stops where the bound exceeds the distance
-that the least cosine allows, so that no link can be missed; for a lower target
-it stops at the bound which that share of a sample's links needed.
+recall of 1 (the default), the reach is the distance that the least cosine
+allows, so that no link can be missed; for a lower target it is the bound which
+that share of a sample's links needed. A scan of the bounds replaces the ordered
+(multi-sequence) traversal: the reach is known beforehand, so that the order of
+visits could not change which cells are visited.
 
 Cells that share the first codeword are dealt together, so that a vector moves
 once per first codeword that it visits, and are split into blocks of ``BLOCK``
