@@ -3,7 +3,7 @@
 The tables hold no exam rows, so small adapters make them: windows of
 documents as chunks, benchmark items as questions with answers in every type,
 completions of every quality, conversations as tagged episodes. The adapters'
-expressions are read by both engines, but only the plans read whole texts.
+expressions are read by both engines, over whole texts.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import grading, udfs
+from .functions import grading
 from .functions import text as T
 from .operators import evaluation, ranking, rerank, retrieval
 from .plans import config, datasets, runs
@@ -38,7 +38,7 @@ def table(s: SparkSession, d: str, name: str) -> DataFrame:
 
 # ---- adapters -------------------------------------------------------------
 
-_WORD = "lower(split_part(left(text, 120), ' ', {}))"
+_WORD = "lower(split_part(text, ' ', {}))"
 _KIND = "CASE item_id % 5 WHEN 0 THEN 'single' WHEN 1 THEN 'multiple' WHEN 2 THEN 'bool' WHEN 3 THEN 'fill' ELSE 'short' END"
 _MARK = "CASE item_id % 5 WHEN 0 THEN '一道单选题' WHEN 1 THEN '一道多选题' WHEN 2 THEN '一道判断题' WHEN 3 THEN '一道填空题' ELSE '一道简答题' END"
 _CLOSED = "CASE item_id % 5 WHEN 1 THEN CASE WHEN item_id % 3 = 0 THEN 'A,C,D' ELSE 'B,C' END ELSE chr(CAST(65 + item_id % 4 AS INT)) END"
@@ -48,10 +48,10 @@ _EXPECTED = f"""'[' || {_KIND} || '] ' || CASE item_id % 5 WHEN 3 THEN {_W[1]} |
 _FIRST = f"""CASE item_id % 5 WHEN 3 THEN {_W[1]} || '; ' || {_W[3]} || '; 2' WHEN 4 THEN {_W[2]} || '; ' || {_W[4]} ELSE {_CLOSED} END"""
 _HALF = f"""CASE item_id % 5 WHEN 3 THEN {_W[1]} || '; nothing' WHEN 4 THEN {_W[2]} WHEN 1 THEN 'C' ELSE 'Z' END"""
 _BOX = "'so: ' || chr(92) || 'boxed{' || {} || '}'"
-_QUERY = f"{_MARK} || chr(10) || '题目：' || left(text, 120)"
+_QUERY = f"{_MARK} || chr(10) || '题目：' || text"
 _BOXED = [_BOX.replace("{}", x, 1) if x else "'no idea'" for x in (_FIRST, _HALF, "'zzz'", "")]
 _DONE = f"CASE (item_id + k) % 4 WHEN 0 THEN {_BOXED[0]} WHEN 1 THEN {_BOXED[1]} WHEN 2 THEN {_BOXED[2]} ELSE {_BOXED[3]} END"
-_SAID = "CASE WHEN role <> 'assistant' THEN text WHEN (conv_id + turn) % 3 = 0 THEN text || ' <search> ' || left(text, 20) || ' </search>' WHEN (conv_id + turn) % 7 = 1 THEN text || ' ' || chr(92) || 'boxed{A}' ELSE text END"
+_SAID = "CASE WHEN role <> 'assistant' THEN text WHEN (conv_id + turn) % 3 = 0 THEN text || ' <search> ' || text || ' </search>' WHEN (conv_id + turn) % 7 = 1 THEN text || ' ' || chr(92) || 'boxed{A}' ELSE text END"
 
 _QA = {"query_id": "item_id", "ord": "item_id * 2", "kind": _KIND, "query": _QUERY, "expected_answer": _EXPECTED}
 _QA_AGAIN = {**_QA, "ord": "item_id * 2 + 1", "expected_answer": f"'[' || {_KIND} || '] changed'"}
@@ -61,14 +61,9 @@ def _select(exprs: dict[str, str], source: str, where: str = "") -> str:
     return f"SELECT {', '.join(f'{e} AS {n}' for n, e in exprs.items())} FROM {source} {where}"
 
 
-def _whole(expr: str) -> str:
-    """An adapter's expression over whole items, of which the SQL reads 120 characters."""
-    return expr.replace("left(text, 120)", "text")
-
-
 def _expr(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
-    # besides whole items the one difference: Spark's literals read backslashes, of which there is none here
-    return df.selectExpr(*(f"{_whole(e)} AS {n}" for n, e in exprs.items()))
+    # Spark's literals read backslashes, of which there is none here
+    return df.selectExpr(*(f"{e} AS {n}" for n, e in exprs.items()))
 
 
 QA_SQL = f"qa AS ({_select(_QA, 'benchmark')} UNION ALL {_select(_QA_AGAIN, 'benchmark', 'WHERE item_id % 7 = 0')})"
@@ -132,7 +127,7 @@ def _score_sql(name: str, asked: str) -> str:
   FROM {asked} JOIN ts USING (term) JOIN post USING (term) JOIN size USING (chunk_id) GROUP BY ALL)"""
 
 
-ASK_SQL = f"""ask AS (SELECT item_id AS query_id, term, count(*)::DOUBLE AS weight FROM (SELECT item_id, unnest({_TOKENS.format("left(text, 120)")}) AS term FROM benchmark) GROUP BY ALL)"""
+ASK_SQL = f"""ask AS (SELECT item_id AS query_id, term, count(*)::DOUBLE AS weight FROM (SELECT item_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL)"""
 
 
 def _top_sql(name: str, scores: str, k: int, cap: int = 2) -> str:
@@ -166,7 +161,7 @@ def term_stats(s, d):
 @query(f"WITH {INDEX_SQL} SELECT source, count(*) AS n_chunks, sum(length)::BIGINT AS n_terms, max(pos) + 1 AS n_places, min(family) AS family FROM chunk JOIN size USING (chunk_id) GROUP BY source")
 def index_structure(s, d):
     i = index(s, d)
-    return i.chunks.join(i.doc_stats, "chunk_id").groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum("length").alias("n_terms"), (F.max("pos") + 1).alias("n_places"), F.min("family").alias("family"))
+    return i.places.join(i.doc_stats, "chunk_id").groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum("length").alias("n_terms"), (F.max("pos") + 1).alias("n_places"), F.min("family").alias("family"))
 
 
 _ALIAS_SQL = """alias AS (
@@ -181,7 +176,7 @@ def prefix_alias(s, d):
 @query(
     f"""WITH {INDEX_SQL}, {_ALIAS_SQL},
 asked AS (SELECT query_id, unnest(list_concat([t], list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda p: length(p) >= 2 OR regexp_matches(p, '[0-9]')))) AS term
-  FROM (SELECT item_id AS query_id, unnest({_TOKENS.format("left(text, 120)")}) AS t FROM benchmark)),
+  FROM (SELECT item_id AS query_id, unnest({_TOKENS.format("text")}) AS t FROM benchmark)),
 own AS (SELECT query_id, term, count(*)::DOUBLE AS weight FROM asked GROUP BY ALL)
 SELECT query_id, term, round(weight, 6) AS weight FROM own UNION ALL
 SELECT query_id, alias, round(weight * 0.2, 6) FROM own JOIN alias ON prefix = left(term, 4) WHERE regexp_full_match(term, '[a-z0-9]{{4,}}') AND alias <> term"""
@@ -196,7 +191,7 @@ def per_source_cap(s, d):
     return retrieval.search(index(s, d), questions(s, d), 20, 2).groupBy("query_id", "source").agg(F.count("*").alias("n"), F.max("score_e9").alias("best"))
 
 
-_VARIANT_SQL = f"""variant AS (SELECT item_id AS query_id, 0 AS variant, left(text, 120) AS q FROM benchmark UNION ALL SELECT item_id, 1, left(text, 40) FROM benchmark UNION ALL SELECT item_id, 2, ' ' FROM benchmark),
+_VARIANT_SQL = f"""variant AS (SELECT item_id AS query_id, 0 AS variant, text AS q FROM benchmark UNION ALL SELECT item_id, 1, left(text, 40) FROM benchmark UNION ALL SELECT item_id, 2, ' ' FROM benchmark),
 vask AS (SELECT query_id * 10 + variant AS query_id, term, count(*)::DOUBLE AS weight FROM (SELECT query_id, variant, unnest({_TOKENS.format("q")}) AS term FROM variant) GROUP BY ALL)"""
 
 
@@ -253,7 +248,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY max(score_e9)
 )
 def structural_expand(s, d):
     i = index(s, d)
-    return retrieval.expand(i, questions(s, d), _hits(s, d, i))
+    return retrieval.expand(i, questions(s, d), hits_k=5)
 
 
 @query(f"WITH {_HIT5} SELECT query_id, chunk_id, round(CASE WHEN max(score_e9) OVER p > min(score_e9) OVER p THEN (score_e9 - min(score_e9) OVER p)::DOUBLE / (max(score_e9) OVER p - min(score_e9) OVER p) ELSE 1.0 END, 6) AS scaled FROM hit WINDOW p AS (PARTITION BY query_id)")
@@ -298,7 +293,7 @@ _GRAMS = "list_concat(" * 3 + ", ".join(f"[substr(t, i::INT, {n}) FOR i IN range
 
 
 @query(
-    f"""WITH txt AS (SELECT item_id AS id, {_COMPACT.format("left(text, 120)")} AS t FROM benchmark),
+    f"""WITH txt AS (SELECT item_id AS id, {_COMPACT.format("text")} AS t FROM benchmark),
 g AS (SELECT id, gram, count(*) AS tf FROM (SELECT id, unnest({_GRAMS}) AS gram FROM txt) GROUP BY ALL),
 f AS (SELECT gram, ln((1.0 + (SELECT count(*) FROM txt WHERE id % 2 = 0)) / (1.0 + count(*))) + 1.0 AS idf FROM g WHERE id % 2 = 0 GROUP BY gram),
 w AS (SELECT id, gram, (1.0 + ln(tf)) * idf AS w FROM g JOIN f USING (gram)),
@@ -316,10 +311,10 @@ def memory_knn(s, d):
 # ---- text -----------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct, left(array_to_string(t, ' '), 200) AS head FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)")
+@query(f"SELECT doc_id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)")
 def tokens(s, d):
     t = table(s, d, "documents").select("doc_id", T.terms("text").alias("t"))
-    return t.select("doc_id", F.size("t").alias("n_terms"), F.size(F.array_distinct("t")).alias("n_distinct"), F.left(F.array_join("t", " "), F.lit(200)).alias("head"))
+    return t.select("doc_id", F.size("t").alias("n_terms"), F.size(F.array_distinct("t")).alias("n_distinct"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
 @query(f"SELECT doc_id, length(c) AS n, md5(c) AS digest FROM (SELECT doc_id, {_COMPACT.format('text')} AS c FROM documents)")
@@ -328,11 +323,11 @@ def compact(s, d):
     return c.select("doc_id", F.length("c").alias("n"), F.md5(F.col("c").cast("binary")).alias("digest"))
 
 
-_PAIR_SQL = "pair AS (SELECT b.item_id, d.doc_id, left(b.text, 120) AS q, left(d.text, 600) AS t FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)"
+_PAIR_SQL = "pair AS (SELECT b.item_id, d.doc_id, b.text AS q, d.text AS t FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)"
 
 
 def _pairs(s, d):
-    """Whole documents beside whole items; _PAIR_SQL states a prefix of both."""
+    """Whole documents beside whole items."""
     items, docs = table(s, d, "benchmark"), table(s, d, "documents")
     n = items.count()
     left = items.select("item_id", F.col("text").alias("q"))
@@ -391,7 +386,7 @@ def answer_payloads(s, d):
 @query(rf"""SELECT item_id, array_to_string(v, '|') AS variants FROM (SELECT item_id, list_slice(list_filter(list_distinct_ordered, lambda x: true), 1, 8) AS v FROM (
   SELECT item_id, CASE WHEN w <> '' AND {_COMPACT.format('w')} <> {_COMPACT.format('q')} AND length({_COMPACT.format('w')}) >= 3 THEN [q, w] ELSE [q] END AS list_distinct_ordered FROM (
     SELECT item_id, q, array_to_string(list_transform(list_filter(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN list_position(p, p[i]) = i THEN p[i] END), lambda x: x IS NOT NULL), lambda x: x), ' ') AS w FROM (
-      SELECT item_id, {_STRIP.format("left(text, 120)")} AS q, list_filter(flatten(list_transform({_TOKENS.format("left(text, 120)")}, lambda t: string_split_regex(t, '[^a-z0-9]+'))), lambda x: length(x) >= 2) AS p FROM benchmark))))""")
+      SELECT item_id, {_STRIP.format("text")} AS q, list_filter(flatten(list_transform({_TOKENS.format("text")}, lambda t: string_split_regex(t, '[^a-z0-9]+'))), lambda x: length(x) >= 2) AS p FROM benchmark))))""")
 def query_variants(s, d):
     return questions(s, d).select(F.col("query_id").alias("item_id"), F.array_join(T.query_variants("query"), "|").alias("variants"))
 
@@ -433,7 +428,7 @@ graded AS (
 
 
 def graded(s, d):
-    return completions(s, d).withColumn("reward", grading.grade("expected_answer", "completion", T.boxed_flat("completion")))
+    return completions(s, d).withColumn("reward", grading.grade("expected_answer", "completion", T.boxed("completion")))
 
 
 @query(f"WITH {DONE_SQL}, {_GRADE_SQL} SELECT query_id, k, kind, round(reward, 6) AS reward FROM graded")
@@ -446,7 +441,7 @@ def grade_rules(s, d):
 round(greatest(0, (len(list_intersect(pl, gl)) - 0.5 * len(list_filter(pl, lambda x: NOT list_contains(gl, x)))) / len(gl)), 6) AS partial FROM gp WHERE kind = 'multiple' AND box IS NOT NULL"""
 )
 def multi_grade_modes(s, d):
-    rows = completions(s, d).where("kind = 'multiple'").withColumn("box", T.boxed_flat("completion")).where("box IS NOT NULL")
+    rows = completions(s, d).where("kind = 'multiple'").withColumn("box", T.boxed("completion")).where("box IS NOT NULL")
     said, gold = T.letters("box"), T.letters(T.expected_body("expected_answer"))
     mode = lambda m: F.round(grading.grade_multiple(said, gold, m), 6)
     return rows.select("query_id", "k", mode("exact").alias("exact"), mode("f1").alias("f1"), mode("partial_penalty").alias("partial"))
@@ -491,10 +486,10 @@ def judge_fallback(s, d):
     return evaluation.judge_with_fallback(rows, scores, "query_id", "reward", "ok").select("query_id", "k", F.round("reward", 6).alias("reward"), "reward_source")
 
 
-_SYN_WORDS = "regexp_extract_all(lower(left(text, 120)), '[a-z]+')"
+_SYN_WORDS = "regexp_extract_all(lower(text), '[a-z]+')"
 
 
-@query(f"SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(w, CASE WHEN item_id % 4 = 0 THEN ['wafer', '晶圆', '硅片'] WHEN item_id % 4 = 1 THEN ['no', '错', '错误', '否', 'false', '×'] ELSE [] END))), ',') AS words FROM (SELECT item_id, list_distinct(list_concat({_SYN_WORDS}[1:2], CASE WHEN item_id % 4 = 0 THEN ['wafer'] WHEN item_id % 4 = 1 THEN ['no'] ELSE [] END)) AS w FROM benchmark)")
+@query(f"SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(w, CASE WHEN item_id % 4 = 0 THEN ['wafer', '晶圆', '硅片'] WHEN item_id % 4 = 1 THEN ['no', '错', '错误', '否', 'false', '×'] ELSE [] END))), ',') AS words FROM (SELECT item_id, list_distinct(list_concat({_SYN_WORDS}, CASE WHEN item_id % 4 = 0 THEN ['wafer'] WHEN item_id % 4 = 1 THEN ['no'] ELSE [] END)) AS w FROM benchmark)")
 def synonym_expand(s, d):
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     more = F.expr("CASE WHEN item_id % 4 = 0 THEN array('wafer') WHEN item_id % 4 = 1 THEN array('no') ELSE CAST(array() AS array<string>) END")
@@ -523,12 +518,11 @@ def evidence_coverage(s, d):
 
 @query(
     f"""WITH {_HIT5}, {_PASSAGE_SQL}, {QA_SQL}, {_ITEMS_SQL},
-nv AS (SELECT *, list_filter(list_transform(items, lambda i: list_filter(i, lambda f: NOT contains({_COMPACT.format("left(query, 40)")}, f))), lambda i: len(i) > 0) AS novel FROM items JOIN psg USING (query_id))
+nv AS (SELECT *, list_filter(list_transform(items, lambda i: list_filter(i, lambda f: NOT contains({_COMPACT.format("query")}, f))), lambda i: len(i) > 0) AS novel FROM items JOIN psg USING (query_id))
 SELECT ord, round(CASE WHEN kind IN ('fill', 'short') THEN {_cover('novel', "regexp_extract_all(lower(passage), '[a-z0-9]+')")} ELSE 0 END, 6) AS coverage FROM nv"""
 )
 def progress_coverage(s, d):
-    rows = _evidence(s, d).withColumn("asked", F.left("query", F.lit(40)))
-    return evaluation.progress_coverage(rows, "asked", "expected_answer", "passage", "coverage").select("ord", F.round("coverage", 6).alias("coverage"))
+    return evaluation.progress_coverage(_evidence(s, d), "query", "expected_answer", "passage", "coverage").select("ord", F.round("coverage", 6).alias("coverage"))
 
 
 @query(
@@ -698,18 +692,18 @@ def type_filter(s, d):
     return datasets.filter_types(qa_rows(s, d), ["fill", "short"]).select("ord", "kind")
 
 
-_SHORT_SQL = f"SELECT item_id * 100 AS ord, left(text, 30) AS query, CASE WHEN item_id % 4 = 0 THEN [] ELSE [{_W[1]}, {_W[2]}] END AS kw FROM benchmark"
+_SHORT_SQL = f"SELECT item_id * 100 AS ord, text AS query, CASE WHEN item_id % 4 = 0 THEN [] ELSE [{_W[1]}, {_W[2]}] END AS kw FROM benchmark"
 
 
 @query(f"WITH {QA_SQL} SELECT query, expected_answer FROM qa UNION ALL SELECT query, '[short] ' || array_to_string(list_filter(kw, lambda w: trim(w) <> ''), ' ||| ') FROM ({_SHORT_SQL}) WHERE len(list_filter(kw, lambda w: trim(w) <> '')) > 0 AND trim(query) <> ''")
 def prepare_qa(s, d):
-    shorts = table(s, d, "benchmark").selectExpr("text AS query", _whole(f"CASE WHEN item_id % 4 = 0 THEN CAST(array() AS array<string>) ELSE array({_W[1]}, {_W[2]}) END AS reference_keywords"))
+    shorts = table(s, d, "benchmark").selectExpr("text AS query", f"CASE WHEN item_id % 4 = 0 THEN CAST(array() AS array<string>) ELSE array({_W[1]}, {_W[2]}) END AS reference_keywords")
     return datasets.prepare_qa(qa_rows(s, d), shorts)
 
 
-@query("WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN r <= least(500, n // 10) THEN 'val' ELSE 'train' END AS split FROM o JOIN documents USING (doc_id) WHERE coalesce(left(text, 1), '') <> '' AND source <> ''")
+@query("WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN r <= least(500, n // 10) THEN 'val' ELSE 'train' END AS split FROM o JOIN documents USING (doc_id) WHERE coalesce(text, '') <> '' AND source <> ''")
 def positional_split(s, d):
-    rows = table(s, d, "documents").select("doc_id", F.left("text", F.lit(1)).alias("input"), F.col("source").alias("output"))
+    rows = table(s, d, "documents").select("doc_id", F.col("text").alias("input"), F.col("source").alias("output"))
     return datasets.positional_split(rows, "doc_id", 500).select("doc_id", "split")
 
 
@@ -801,7 +795,7 @@ def sse_events(s, d):
 
 @query(f"WITH {MSG_SQL} SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?is)<search>\\s*(.*?)\\s*</search>') THEN regexp_extract(text, '(?is)<search>\\s*(.*?)\\s*</search>', 1) END AS search, contains(text, chr(92) || 'boxed') AS boxed FROM msg WHERE role = 'assistant'")
 def turn_actions(s, d):
-    return messages(s, d).where("role = 'assistant'").select("conv_id", "turn", T.search_tag("text").alias("search"), T.boxed_flat("text").isNotNull().alias("boxed"))
+    return messages(s, d).where("role = 'assistant'").select("conv_id", "turn", T.search_tag("text").alias("search"), T.boxed("text").isNotNull().alias("boxed"))
 
 
 @query(None)
@@ -861,7 +855,20 @@ def flatten_json(s, d):
     return table(s, d, "events").select("event_id", F.explode(config.flatten_json(json)).alias("path", "value"))
 
 
-@query(None)
+_ASCII = "".join(chr(c) for c in range(33, 127) if chr(c) not in "'\\")
+
+
+@query(f"SELECT doc_id, len(t) AS n_terms, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)")
 def nfkc_terms(s, d):
-    docs = table(s, d, "documents").select("doc_id", udfs.nfkc(F.col("text")).alias("text"))
-    return docs.select("doc_id", F.size(T.terms("text")).alias("n_terms"))
+    """Terms of texts in full-width characters are those of the plain texts."""
+    wide = F.translate("text", _ASCII, "".join(chr(ord(c) + 0xFEE0) for c in _ASCII))
+    t = table(s, d, "documents").select("doc_id", T.terms(wide).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_terms"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
+
+
+_NESTED = "'so ' || chr(92) || 'boxed{' || lower(split_part(text, ' ', 1)) || '_{' || item_id || '}^{a{' || item_id % 7 || '}}} or ' || chr(92) || 'boxed{not closed'"
+
+
+@query(r"SELECT item_id, regexp_extract(c, '\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}', 1) AS box FROM (SELECT item_id, " + _NESTED + " AS c FROM benchmark)")
+def nested_boxes(s, d):
+    return table(s, d, "benchmark").selectExpr("item_id", f"{_NESTED} AS c").select("item_id", T.boxed("c").alias("box"))

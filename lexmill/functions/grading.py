@@ -48,9 +48,8 @@ def grade_multiple(said: Column, gold: Column, mode: str = "partial_penalty", wr
 
 
 def grade(expected: Column | str, completion: Column | str, boxed: Column, mode: str = "partial_penalty", groups: list[list[str]] | None = None) -> Column:
-    """The reward of a completion. ``boxed``: its last boxed answer, from
-    ``text.boxed_flat`` or, where braces nest, a column that was made before
-    with ``udfs.extract_boxed``."""
+    """The reward of a completion. ``boxed``: its last boxed answer, as
+    ``text.boxed`` finds it."""
     kind, gold = T.expected_type(expected), T.strip(T.expected_body(expected))
     blanks = F.split(gold, r"\|\|\|")
     parts = F.filter(F.split(boxed, "[;；\n]"), lambda p: T.strip(p) != "")

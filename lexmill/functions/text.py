@@ -1,13 +1,14 @@
 """Text columns: normal forms, terms, coverage, answer notation, clean-up.
 
-All are built from Spark SQL functions, so that they stay in the JVM. Where the
-full Unicode compatibility form is wanted, apply :func:`lexmill.functions.udfs.nfkc`
-first; texts that are stable under it need no Python.
+All are built from Spark SQL functions, so that they stay in the JVM. The
+Unicode compatibility form comes from the library that Spark's collations use;
+texts of ASCII alone skip it.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,8 +40,21 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once per row, also where
+    ``use`` needs it in several places or for each element of an array."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def nfkc(c: Column | str) -> Column:
+    """The Unicode compatibility form, composed."""
+    text = col(c)
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7f]"), composed).otherwise(text)
+
+
 def normalize(c: Column | str) -> Column:
-    return F.lower(col(c))
+    return F.lower(nfkc(c))
 
 
 def compact(c: Column | str) -> Column:
@@ -48,22 +62,30 @@ def compact(c: Column | str) -> Column:
     return F.regexp_replace(normalize(c), r"[^\p{L}\p{N}]", "")
 
 
+def _ascii(normal: Column) -> Column:
+    return F.regexp_extract_all(normal, F.lit(ASCII_TOKEN), F.lit(0))
+
+
 def ascii_tokens(c: Column | str) -> Column:
-    return F.regexp_extract_all(normalize(c), F.lit(ASCII_TOKEN), F.lit(0))
+    return _ascii(normalize(c))
 
 
 def terms(c: Column | str, expand_ascii: bool = False) -> Column:
     """Words of ASCII, then two-character runs of CJK text (and the whole run
     up to 12 characters). With ``expand_ascii``, the parts of compound words too."""
-    tokens = ascii_tokens(c)
-    if expand_ascii:
-        part = lambda t: F.filter(F.split(t, "[^a-z0-9]+"), lambda p: (F.length(p) >= 2) | p.rlike("[0-9]"))
-        tokens = F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), part(t))))
+    part = lambda t: F.filter(F.split(t, "[^a-z0-9]+"), lambda p: (F.length(p) >= 2) | p.rlike("[0-9]"))
     empty = F.array().cast("array<string>")
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))
     of_run = lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.concat(pairs(r), F.when(F.length(r) <= 12, F.array(r)).otherwise(empty)))
-    runs = F.regexp_extract_all(normalize(c), F.lit(CJK_RUN), F.lit(0))
-    return F.concat(tokens, F.flatten(F.transform(runs, of_run)))
+
+    def of_normal(normal: Column) -> Column:
+        tokens = _ascii(normal)
+        if expand_ascii:
+            tokens = F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), part(t))))
+        runs = F.regexp_extract_all(normal, F.lit(CJK_RUN), F.lit(0))
+        return F.when(F.size(runs) == 0, tokens).otherwise(F.concat(tokens, F.flatten(F.transform(runs, of_run))))
+
+    return let(normalize(c), of_normal)
 
 
 def without_blanks(c: Column | str) -> Column:
@@ -80,13 +102,12 @@ def share(found: Column, of: Column) -> Column:
 
 def coverage(question: Column | str, text: Column | str) -> Column:
     """Share of the question's informative terms that the text has."""
-    asked = informative(without_blanks(question))
-    return share(F.array_intersect(asked, terms(text)), asked)
+    return let(informative(without_blanks(question)), lambda asked: share(F.array_intersect(asked, terms(text)), asked))
 
 
 def jaccard(left: Column | str, right: Column | str) -> Column:
-    a, b = F.array_distinct(terms(left)), F.array_distinct(terms(right))
-    return share(F.array_intersect(a, b), F.array_union(a, b))
+    both = F.struct(F.array_distinct(terms(left)).alias("a"), F.array_distinct(terms(right)).alias("b"))
+    return let(both, lambda x: share(F.array_intersect(x["a"], x["b"]), F.array_union(x["a"], x["b"])))
 
 
 def answer_cue(c: Column | str) -> Column:
@@ -95,9 +116,10 @@ def answer_cue(c: Column | str) -> Column:
 
 def sentence_score(question: Column | str, text: Column | str) -> Column:
     """The best sentence's coverage, with a bonus for an answer's wording."""
-    asked = informative(without_blanks(question))
-    score = lambda s: F.least(F.lit(1.0), F.size(F.array_intersect(asked, terms(s))) / F.size(asked) + F.when(answer_cue(s), 0.2).otherwise(0.0))
-    return F.when(F.size(asked) > 0, F.array_max(F.transform(F.split(col(text), SENTENCE_END), score))).otherwise(F.lit(0.0))
+    cued = lambda s: F.when(answer_cue(s), 0.2).otherwise(0.0)
+    score = lambda asked: lambda s: F.least(F.lit(1.0), F.size(F.array_intersect(asked, terms(s))) / F.size(asked) + cued(s))
+    best = lambda asked: F.when(F.size(asked) > 0, F.array_max(F.transform(F.split(col(text), SENTENCE_END), score(asked)))).otherwise(F.lit(0.0))
+    return let(informative(without_blanks(question)), best)
 
 
 def copy_score(question: Column | str, text: Column | str, bridge: Column) -> Column:
@@ -202,9 +224,29 @@ def letters(c: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(col(c)), F.lit("[A-Z]"), F.lit(0))))
 
 
-def boxed_flat(c: Column | str) -> Column:
-    """The last ``\\boxed{...}`` without inner braces; null if there is none."""
-    return F.try_element_at(F.regexp_extract_all(col(c), F.lit(r"\\boxed\s*\{([^{}]*)\}"), F.lit(1)), F.lit(-1))
+BOX = r"\\boxed\s*\{"
+
+
+def boxed(c: Column | str) -> Column:
+    """The content of the last ``\\boxed{...}`` whose braces balance, inner
+    braces and boxes included; null if there is none. Texts whose boxes hold no
+    inner brace are read by one pattern; others are followed brace by brace."""
+    text = col(c)
+    flat = F.try_element_at(F.regexp_extract_all(text, F.lit(BOX + r"([^{}]*)\}"), F.lit(1)), F.lit(-1))
+    parts = F.split(text, f"(?={BOX})")
+
+    def closed(rest: Column) -> Column:
+        """Up to the brace that closes what opened before."""
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"))
+        move = lambda s, ch: F.when(s["depth"] == 0, s).otherwise(
+            F.struct((s["depth"] + (ch == "{").cast("int") - (ch == "}").cast("int")).alias("depth"), (s["at"] + 1).alias("at"))
+        )
+        end = F.aggregate(F.split(rest, ""), start, move, lambda s: F.when(s["depth"] == 0, s["at"]))
+        return let(end, lambda at: F.substr(rest, F.lit(1), at - 1))
+
+    after = lambda p, i: F.when(p.rlike(f"^{BOX}"), closed(F.regexp_replace(F.array_join(F.slice(parts, i + 1, F.size(parts)), ""), f"^{BOX}", "")))
+    nested = F.try_element_at(F.filter(F.transform(parts, after), lambda x: x.isNotNull()), F.lit(-1))
+    return F.when(text.rlike(BOX + r"[^{}]*\{"), nested).otherwise(flat)
 
 
 def source_title(c: Column | str) -> Column:
@@ -347,4 +389,4 @@ def elapsed(c: Column | str) -> Column:
 
 def experiment_parts(c: Column | str) -> Column:
     parts = F.split(col(c), "_")
-    return F.struct(*(F.get(parts, k).alias(n) for k, n in enumerate(("method", "model", "dataset"))), F.when(F.size(parts) > 3, F.array_join(F.slice(parts, 4, 99), "_")).alias("tag"))
+    return F.struct(*(F.get(parts, k).alias(n) for k, n in enumerate(("method", "model", "dataset"))), F.when(F.size(parts) > 3, F.array_join(F.slice(parts, F.lit(4), F.size(parts)), "_")).alias("tag"))

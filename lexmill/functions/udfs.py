@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from . import text as T
 
 _BLANK = re.compile(T.BLANK_MARKER)
-_BOX = re.compile(r"\\boxed\s*\{")
 
 # How anchors around a blank are tried, longest first, and how a gap between them counts.
 ANCHORS = (18, 14, 10, 7, 5)
@@ -28,53 +28,44 @@ def _compact(x: str) -> str:
     return "".join(filter(str.isalnum, _nfkc(x).lower()))
 
 
-def balanced_box(x: str | None) -> str | None:
-    """The content of the last box whose braces balance."""
-    found = None
-    for m in _BOX.finditer(x or ""):
-        depth = 1
-        for at in range(m.end(), len(x)):
-            depth += (x[at] == "{") - (x[at] == "}")
-            if not depth:
-                found = x[m.end():at]
-                break
-    return found
+def _starts(passage: str, part: str) -> list[int]:
+    """All places of a part, overlapping ones too."""
+    return [m.start() for m in re.finditer(f"(?={re.escape(part)})", passage)]
 
 
-def _gap_signal(gap: int) -> float | None:
-    if gap == 0:
-        return -1.0
-    return 1.0 if gap <= 48 else 0.25 if gap <= 120 else None
+def _strength(gap: int) -> float | None:
+    """What so many characters between both anchors say of the blank."""
+    if gap > 120:
+        return None
+    return -1.0 if not gap else 1.0 if gap <= 48 else 0.25
 
 
-def _anchor_signals(passage: str, left: str, right: str):
-    at = passage.find(left)
-    while at >= 0:
-        gap_at = at + len(left)
-        end = passage.find(right, gap_at)
-        if end >= 0 and (signal := _gap_signal(end - gap_at)) is not None:
-            yield signal
-        if at + 1 > LAST_OFFSET:
-            return
-        at = passage.find(left, at + 1)
+def _best_of(passage: str, left: str, right: str) -> tuple[float, float] | None:
+    """The strongest and weakest sign that left and the next right after it
+    give, of the lefts that begin within the first ``LAST_OFFSET`` characters
+    (and the one behind); None without any."""
+    ends = [at + len(left) for at in _starts(passage, left)]
+    ends = ends[: bisect.bisect_left(ends, LAST_OFFSET + len(left)) + 1]
+    rights = _starts(passage, right) if ends else []
+    after = (bisect.bisect_left(rights, e) for e in ends)
+    signs = [x for e, k in zip(ends, after) if k < len(rights) and (x := _strength(rights[k] - e)) is not None]
+    return (max(signs), min(signs)) if signs else None
 
 
 def bridge(question: str | None, text: str | None) -> float:
     """1 if the passage fills a blank of the question between the words around
     it, 0.25 if it may, -1 if it only repeats them, 0 if they do not occur."""
-    around = [_compact(p) for p in _BLANK.split(_nfkc(question or "").lower())]
-    passage = _compact(text or "")
-    signals: list[float] = []
-    for left, right in zip(around, around[1:]):
-        if not (left and right):
-            continue
-        for n in ANCHORS:
-            signals += _anchor_signals(passage, left[-n:], right[:n])
-            if max(signals, default=0) > 0:
+    sides = [_compact(p) for p in _BLANK.split(_nfkc(question or "").lower())]
+    passage = _compact(text or "") if len(sides) > 1 else ""
+    high = low = None
+    for left, right in zip(sides, sides[1:]):
+        for n in ANCHORS if left and right and passage else ():
+            if found := _best_of(passage, left[-n:], right[:n]):
+                high = found[0] if high is None else max(high, found[0])
+                low = found[1] if low is None else min(low, found[1])
+            if (high or 0) > 0:
                 break
-    if not signals:
-        return 0.0
-    return max(signals) if max(signals) > 0 else min(signals)
+    return 0.0 if high is None else high if high > 0 else low
 
 
 def _option_similarity(left: str | None, right: str | None) -> float:
@@ -87,16 +78,6 @@ def _option_similarity(left: str | None, right: str | None) -> float:
     return max(len(pairs[0] & pairs[1]) / len(pairs[0] | pairs[1]), difflib.SequenceMatcher(None, a, b).ratio())
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(_nfkc)
-
-
-@F.pandas_udf(StringType())
-def extract_boxed(texts: pd.Series) -> pd.Series:
-    return texts.map(balanced_box)
-
-
 @F.pandas_udf(DoubleType())
 def cloze_bridge(questions: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([bridge(q, t) for q, t in zip(questions, texts)], dtype="float64")

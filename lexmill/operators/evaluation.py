@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +46,43 @@ def passages(hits: DataFrame, keys: list[str], order: str = "rank") -> DataFrame
     return hits.groupBy(*keys).agg(F.array_join(sorted_lines, "\n").alias("passage"))
 
 
+#: Forms that one automaton holds, about; more are searched for in further passes.
+FORM_BLOCK = 100_000
+
+
 def gold_presence(golds: DataFrame, texts: DataFrame, form: str = "form", text: str = "passage") -> DataFrame:
-    """The distinct forms that any text holds. The forms are few and are
-    broadcast by size; every text is read once."""
-    forms = golds.select(form).distinct()
-    held = texts.select(T.compact(text).alias("_c"), T.ascii_tokens(text).alias("_t"))
-    number = F.col(form).rlike("^[0-9]+$")
-    found = (~number & (F.length(form) >= 2) & F.contains(F.col("_c"), F.col(form))) | (number & F.array_contains(F.col("_t"), F.col(form)))
-    return forms.join(held, found, "left_semi")
+    """The distinct forms that any text holds: numbers as words, others of two
+    characters and more anywhere in its letters and digits. Numbers are joined
+    with the texts' words; the others make an automaton that every text is run
+    through once. Texts never meet forms in pairs."""
+    forms = golds.select(F.col(form).alias("form")).where("form IS NOT NULL").distinct()
+    number = F.col("form").rlike("^[0-9]+$")
+    said = texts.select(F.explode(F.filter(T.ascii_tokens(text), lambda t: t.rlike("^[0-9]+$"))).alias("form"))
+    out = forms.where(number).join(said, "form", "left_semi")
+    strings = forms.where(~number & (F.length("form") >= 2))
+    n_blocks = max(1, -(-strings.count() // FORM_BLOCK))
+    compact = texts.select(T.compact(text).alias("c"))
+    for k in range(n_blocks):
+        part = strings.where(F.pmod(F.xxhash64("form"), F.lit(n_blocks)) == k)
+        out = out.unionByName(_held(compact, [r.form for r in part.toLocalIterator()]))  # about FORM_BLOCK forms
+    return out.withColumnRenamed("form", form)
+
+
+def _held(texts: DataFrame, forms: list[str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        trie = ahocorasick.Automaton()
+        for x in forms:
+            trie.add_word(x, x)
+        trie.make_automaton()
+        seen: set[str] = set()
+        for batch in batches if forms else ():
+            new = {x for t in batch.column(0).to_pylist() if t for _, x in trie.iter(t)} - seen
+            seen |= new
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(new), pa.string())], ["form"])
+
+    return texts.mapInArrow(run, "form string").distinct()
 
 
 def type_diagnostics(rows: DataFrame, kind: str = "kind", reward: str = "reward") -> DataFrame:

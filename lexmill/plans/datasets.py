@@ -76,7 +76,7 @@ def direct_splits(rows: DataFrame, order: str = "ord", denominator: int = 20) ->
     groups = keyed.groupBy("group_key").agg(F.count("*").alias("n_rows"), F.count_distinct("answer_key").alias("n_answers"), F.min_by(F.struct("query", "expected_answer"), order).alias("first"))
     flat = groups.select("group_key", "n_rows", "n_answers", "first.*").withColumns({"kind": kind, "completion": completion})
     good = (T.strip("query") != "") & (payload != "") & F.col("kind").isin(TYPES) & (T.question_type("query") == F.col("kind"))
-    own = grading.grade("expected_answer", "completion", T.boxed_flat("completion"))
+    own = grading.grade("expected_answer", "completion", T.boxed("completion"))
     status = F.when(F.col("n_answers") > 1, "conflict").when(~good, "invalid").when(own != 1.0, "invalid").otherwise("ok")
     side = F.when(ranking.stable_bucket(F.col("group_key"), denominator) == 0, "validation").otherwise("train")
     return flat.withColumn("status", status).select("group_key", "kind", "query", "completion", "n_rows", "status", F.when(F.col("status") == "ok", side).alias("split"))

@@ -53,7 +53,7 @@ def step(s: State, boxed: bool, searching: bool, reward: float, found: float, sh
 
 
 def classify_turns(turns: DataFrame, text: str = "text") -> DataFrame:
-    return turns.withColumn("boxed", T.boxed_flat(text).isNotNull()).withColumn("searching", T.search_tag(text).isNotNull())
+    return turns.withColumn("boxed", T.boxed(text).isNotNull()).withColumn("searching", T.search_tag(text).isNotNull())
 
 
 def _play(turns: pd.DataFrame, s: State, max_searches: int, scale: float) -> Iterator[tuple]:

@@ -21,15 +21,26 @@ def one(spark, column, **values):
 )
 def test_grade(spark, expected, completion, want):
     frame = spark.createDataFrame([(expected, completion)], "e string, c string")
-    assert frame.select(grading.grade("e", "c", T.boxed_flat("c")).alias("r")).first().r == pytest.approx(want)
-    assert frame.withColumn("b", udfs.extract_boxed("c")).select(grading.grade("e", "c", F.col("b")).alias("r")).first().r == pytest.approx(want)
+    assert frame.select(grading.grade("e", "c", T.boxed("c")).alias("r")).first().r == pytest.approx(want)
 
 
-def test_balanced_box():
-    assert udfs.balanced_box(r"\boxed{a_{1} + b}") == "a_{1} + b"
-    assert udfs.balanced_box(r"\boxed{A} 再想想 \boxed{C}") == "C"
-    assert udfs.balanced_box("none") is None
-    assert udfs.balanced_box(r"\boxed{open") is None
+BOXES = [
+    (r"\boxed{a_{1} + b}", "a_{1} + b"), (r"\boxed{A} 再想想 \boxed{C}", "C"), ("none", None), (r"\boxed{open", None), (r"\boxed{x{y}} and \boxed{open {", "x{y}"),
+    (r"\boxed {a{b{c{d{e}}}}}", "a{b{c{d{e}}}}"), (r"\boxed{a \boxed{in}}", "in"), (r"\boxed{ok} \boxed{a{", "ok"), (r"\boxed{}", ""), (r"\boxed{{}}}", "{}"), (None, None),
+]
+
+
+def test_balanced_boxes(spark):
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(BOXES)], "i int, t string")
+    got = {r.i: r.b for r in frame.select("i", T.boxed("t").alias("b")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(BOXES)}
+
+
+def test_compatibility_forms(spark):
+    frame = spark.createDataFrame([("ＡＢＣ１２３　ﬁne ①㎏ Ｘ．Ｙ",), ("plain",), (None,)], "t string")
+    got = [tuple(r) for r in frame.select(T.normalize("t"), T.compact("t"), T.terms("t")).collect()]
+    assert got[0] == ("abc123 fine 1kg x.y", "abc123fine1kgxy", ["abc123", "fine", "1kg", "x.y"])
+    assert got[1][0] == "plain" and got[2][0] is None
 
 
 def test_terms(spark):
