@@ -1,15 +1,16 @@
-"""What the operators of this subpackage share: scratch tables, guarded
-broadcasts, Arrow batch sizing and a grouped stream reader."""
+"""What the operators of this subpackage share: guarded broadcasts, Arrow
+batch sizing, names that clash with nothing and a grouped stream reader."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch, shared_dir  # noqa: F401
+
 #: Rows in one Arrow batch. Documents can hold 100,000 characters and more, so
 #: the default of 10,000 rows could make a batch of a gigabyte.
 ARROW_ROWS = 512
@@ -28,53 +29,30 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that
-    is unset, as in tests, a folder of this machine is set as the setting."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder, which cut lineage: a lost executor
-    costs at most the stage that is running. Parquet keeps them small and lets
-    the optimizer see their size, so that it broadcasts those that are small.
-
-    The driver deletes them when it ends; ``drop`` does so earlier.
-    """
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a stored, narrow table for broadcast if it has few rows; else the
+    join is left to the planner, which shuffles it."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex}"
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.deleteOnExit(self._path(self.base))
 
-    def save(self, df: DataFrame, label: str) -> DataFrame:
-        path = f"{self.base}/{label}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+def tasks_for(rows: int, each: int) -> int:
+    """Tasks for work that costs time rather than bytes, which the planner,
+    who counts bytes, would put into too few."""
+    return max(1, min(-(-rows // each), 100_000))
 
-    def drop(self, *labels: str) -> None:
-        for label in labels:
-            self._fs.delete(self._path(f"{self.base}/{label}"), True)
 
-    def keep(self, *labels: str) -> None:
-        """Drops all tables but these."""
-        if self._fs.exists(self._path(self.base)):
-            for found in self._fs.listStatus(self._path(self.base)):
-                if found.getPath().getName() not in labels:
-                    self._fs.delete(found.getPath(), True)
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has, in whatever case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a stored, narrow table for broadcast if it has few rows; else the
-    join is left to the planner, which shuffles it."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def text_key(text_col: str) -> F.Column:
+    """128 bits of the text's SHA-256; null counts as empty. Equal keys are
+    taken for equal texts: among 10^10 texts two meet with a chance of 10^-19."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)), 1, 16)
 
 
 def fit_threshold(n_rows: int, wanted: int) -> int:

@@ -2,8 +2,9 @@
 
 Rounds of large-star and small-star turn the edges of each component into a
 star around its smallest node. A round costs a few joins and aggregations with
-map-side combining; no node's neighbours are gathered in one place, and edges
-never come to the driver.
+map-side combining. A node with very many edges meets them in a join, which
+adaptive execution splits; they are never held as a list, nor brought to the
+driver.
 """
 
 from __future__ import annotations

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, fit_threshold, groups_of, hash31, map_batches
+from .common import Scratch, broadcast_if_small, groups_of, map_batches, tasks_for, text_key, unused
 from .components import connected_components
 
 SEED = 42
@@ -44,6 +44,8 @@ CHANCE = 4096
 MOST_TABLES = 66
 #: Hashes that are counted at a time.
 CHUNK = 1 << 16
+#: Fingerprints that one task compares, about.
+TASK_ROWS = 4096
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -62,7 +64,10 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int) -> int:
     """Bits that are set in over half the shingles' hashes."""
-    hashes = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at:at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -169,7 +174,8 @@ def links(fps: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_blocks") - 2, F.lit(0))), lambda i: i + (i >= F.col("own")).cast("int"))
     others = F.when(F.col("n_blocks") == 1, F.array(F.lit(0))).otherwise(pairs)
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others)).select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    dealt = dealt.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    rows = buckets.agg(F.sum(F.col("n") * F.greatest(F.ceil(F.col("n") / BLOCK) - 1, F.lit(1)))).first()[0] or 0
+    dealt = dealt.repartition(tasks_for(rows, TASK_ROWS), "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in groups_of(batches, ["band", "key", "i", "j"]):
@@ -194,19 +200,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def word_fingerprint(text: str | None) -> int:
-    """Majority bits over the distinct words. Texts that share most shingles
-    share nearly all words, so that their distance is small."""
-    words = set((text or "").encode().lower().split())
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        part = hashes[at:at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
-
-
 def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """(position, root) for all but the roots of the groups that pairs of
     exact Jaccard similarity form among sets of distinct hashes."""
@@ -215,6 +208,7 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(ids, kind="stable")
     posted, starts = owner[order], np.searchsorted(ids[order], np.arange(ids.max() + 2))
+    n_posted = np.diff(starts)
     own = np.split(ids, np.cumsum(sizes)[:-1])
     left, out = np.ones(len(sets), bool), []
     for root in range(len(sets)):
@@ -224,8 +218,10 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
         queue = [root]
         while queue and left.any():
             q = queue.pop()
-            met = np.concatenate([posted[starts[i]:starts[i + 1]] for i in own[q]])
-            shared = np.bincount(met, minlength=len(sets))
+            mine = own[q][n_posted[own[q]] > 1]
+            runs = n_posted[mine]
+            places = np.arange(runs.sum()) + np.repeat(starts[mine] - np.r_[0, np.cumsum(runs)[:-1]], runs) if len(mine) else np.zeros(0, np.int64)
+            shared = np.bincount(posted[places], minlength=len(sets))
             found = np.flatnonzero(left & (shared >= similarity * (sizes[q] + sizes - shared) - 1e-9))
             left[found] = False
             queue.extend(found.tolist())
@@ -233,97 +229,52 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     return out
 
 
-#: Texts and characters that a block of texts to verify has on the average, at most.
-SET_BLOCK, BLOCK_CHARS = 512, 4_000_000
-#: Narrow rows (two numbers), at most, that the deduplication broadcasts.
-NARROW_ROWS = 1_000_000
-#: Texts of the sample that tells common shingles, and shingles told common, at
-#: most. They set the order of prefixes alone: any order finds all pairs.
-ORDER_SAMPLE, ORDER_HOT = 5_000, 100_000
-#: Postings of a prefix shingle that one block holds on the average, at most.
-PREFIX_BLOCK = 1024
-
-
-def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that recur in a sample of texts, and on how many."""
-    some = texts.where(hash31("tk") < fit_threshold(texts.count(), ORDER_SAMPLE)).select("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, width)).view(np.int64))], ["h"])
-
-    counted = map_batches(some, run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    rows = counted.orderBy(F.desc("n"), "h").limit(ORDER_HOT).collect()
-    hashes, counts = (np.array([r[k] for r in rows], np.int64) for k in ("h", "n"))
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
-
-
-def prefix(text: str | None, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
-    """The first distinct shingles in one order of all, rare ones first, and
-    how many there are: texts of the similarity share one of the first."""
-    own = np.unique(shingle_hashes(text, width)).view(np.int64)
-    n = len(own)
-    if not n:
-        return own, 0
-    hashes, counts = common
-    seen = np.zeros(n, np.int64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-        seen = np.where(hashes[at] == own, counts[at], 0)
-    return own[np.lexsort((own, seen))][:n - int(np.ceil(similarity * n - 1e-9)) + 1], n
-
-
-def pairs_that_may(tk: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different roots whose sizes and places of a shared shingle let
-    them have the similarity."""
-    rest = n - pos
-    for at in range(0, len(tk), 256):
-        part = slice(at, at + 256)
-        most = np.minimum(rest[part, None], rest[None])
-        may = (tk[part, None] < tk[None]) & (root[part, None] != root[None])
-        may &= np.minimum(n[part, None], n[None]) >= similarity * np.maximum(n[part, None], n[None]) - 1e-9
-        # shared before this one at most the lesser place, from it on the lesser rest
-        i, j = np.nonzero(may & (most + np.minimum(pos[part, None], pos[None]) >= similarity / (1 + similarity) * (n[part, None] + n[None]) - 1e-9))
-        if len(i):
-            yield tk[part][i], tk[j]
-
-
-def prefix_links(texts: DataFrame, prefixes: DataFrame, grouped: DataFrame, scratch: Scratch, width: int, similarity: float) -> DataFrame:
-    """(a, b): all pairs of texts of the similarity that are in different
-    groups (``grouped``: tk, least, root), found by shared prefix shingles."""
-    known = grouped.select("tk", F.col("least.doc_id").alias("least_id"), "root")
-    mine = prefixes.join(broadcast_if_small(known, NARROW_ROWS), "tk").where(F.col("doc_id").eqNullSafe(F.col("least_id")))
-    postings = mine.select("tk", "root", "size", F.posexplode("prefix").alias("pos", "h"))
-    buckets = postings.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    buckets = scratch.save(buckets.where("low < high").select("h", "n"), "prefix_buckets")
-    dealt = postings.join(broadcast_if_small(buckets, NARROW_ROWS), "h").withColumn("n_blocks", F.ceil(F.col("n") / PREFIX_BLOCK).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("tk"), F.col("n_blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_blocks") - 2, F.lit(0))), lambda i: i + (i >= F.col("own")).cast("int"))
-    others = F.when(F.col("n_blocks") == 1, F.array(F.lit(0))).otherwise(pairs)
-    dealt = dealt.withColumn("other", F.explode(others)).select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tk", "root", "size", "pos")
-    dealt = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in groups_of(batches, ["h", "i", "j"]):
-            columns = (group.column(c).to_numpy() for c in ("tk", "root", "size", "pos"))
-            for a, b in pairs_that_may(*columns, similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    may = scratch.save(map_batches(dealt, run, "a long, b long").distinct(), "prefix_pairs")
-    asked = scratch.save(may.select(F.col("a").alias("tk")).union(may.select("b")).distinct().join(known.select("tk", "least_id"), "tk"), "prefix_asked")
-
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["tk", "hashes"])
-
-    found = texts.join(broadcast_if_small(asked, NARROW_ROWS), "tk").where(F.col("doc_id").eqNullSafe(F.col("least_id"))).select("tk", "text")
-    sets = scratch.save(map_batches(found, shingle, "tk long, hashes array<long>"), "prefix_sets")
-    both = may.join(sets.select(F.col("tk").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("tk").alias("b"), F.col("hashes").alias("y")), "b")
-    both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared")) - 1e-9).select("a", "b").distinct()
+#: Bands and minima in each: a pair of similarity s is missed by chance alone,
+#: (1 - s^ROWS)^BANDS: 1.3e-7 at 0.8. The keys are 64 bits wide, so that texts
+#: which have little in common do not meet, however many there are.
+BANDS, ROWS = 40, 5
+_RANDOM = np.random.default_rng(20)
+TURN = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+SHIFT = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+#: Texts and characters that a block of texts to verify has, at most; up to so
+#: many blocks are made of fewer texts, so that groups of thousands spread.
+SET_BLOCK, SMALL_BLOCK, SMALL_BLOCKS, BLOCK_CHARS = 512, 128, 24, 4_000_000
+#: Narrow rows (a key and a number or two), at most, that the deduplication broadcasts.
+NARROW_ROWS = 250_000
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of the bands of minima of a set's hashes; texts that have none
+    share one key."""
+    if not len(hashes):
+        return np.zeros(1, np.int64)
+    low = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    minima = np.full(BANDS * ROWS, np.uint32(0xFFFFFFFF))
+    for at in range(0, len(low), 1024):
+        turned = TURN[:, None] * low[None, at:at + 1024]
+        turned ^= turned >> np.uint32(15)
+        turned += SHIFT[:, None]
+        np.minimum(minima, turned.min(1), out=minima)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for row in minima.reshape(BANDS, ROWS).T.astype(np.uint64):
+        keys = (keys ^ row) * np.uint64(0xD6E8FEB86659FD93)
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
+
+
+def candidate_links(distinct: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
+    """(a, b): texts (tid) that the bit-sliced comparison of their fingerprints
+    links, and texts that share a band, each with the first of its bucket."""
+    fps = scratch.save(distinct.groupBy("fp").agg(F.min("tid").alias("first")), "fps")
+    same = distinct.select("tid", "fp").join(broadcast_if_small(fps, NARROW_ROWS), "fp").where("tid != first").select(F.col("tid").alias("a"), F.col("first").alias("b"))
+    near = scratch.save(links(fps.select("fp"), scratch, radius), "near_links")
+    first = lambda end: fps.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first"))
+    near = near.join(first("a"), "a").join(first("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    filed = distinct.select("tid", F.explode("bands").alias("key"))
+    buckets = filed.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("first")).where("n > 1").drop("n")
+    buckets = scratch.save(buckets, "buckets")
+    banded = filed.join(broadcast_if_small(buckets, NARROW_ROWS), "key").where("tid != first").select(F.col("tid").alias("a"), F.col("first").alias("b"))
+    return same.union(near).union(banded.distinct())
 
 
 def similar_groups(docs: DataFrame, scratch: Scratch, width: int, similarity: float, radius: int, id_col: str, text_col: str) -> DataFrame:
@@ -332,48 +283,45 @@ def similar_groups(docs: DataFrame, scratch: Scratch, width: int, similarity: fl
     chars = F.coalesce(F.length(text_col), F.lit(0)).cast("long")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(text_col).alias("tk"), chars.alias("chars"))
 
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
-
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = batch.column("text").to_pylist()
-            fps = pa.array([word_fingerprint(t) for t in read], pa.int64())
-            first = [prefix(t, width, similarity, common.value) for t in read]
-            more = [pa.array([n for _, n in first], pa.int64()), pa.array([x for x, _ in first], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tk", "chars")), fps, *more], ["doc_id", "tk", "chars", "fp", "size", "prefix"])
+            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column("text").to_pylist()]
+            more = [pa.array([majority(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tk", "chars")), *more], ["doc_id", "tk", "chars", "fp", "bands"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    marked = scratch.save(map_batches(texts, mark, f"doc_id {kind}, tk long, chars long, fp long, size long, prefix array<long>"), "marked")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
-    distinct = scratch.save(marked.groupBy("tk").agg(F.first("fp").alias("fp"), F.first("chars").alias("chars"), first.alias("least")), "distinct")
-    fps = scratch.save(distinct.groupBy("fp").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")), "fps")
-    near = connected_components(scratch.save(links(fps.select("fp"), scratch, radius), "near_links"), scratch)
-    rooted = fps.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "chars", F.coalesce("root", "fp").alias("root"))
-    rooted = scratch.save(rooted, "near_roots")
-    sizes = rooted.groupBy("root").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).where("n > 1")
-    n_blocks = F.ceil(F.greatest(F.col("n") / SET_BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int")
-    sizes = scratch.save(sizes.select("root", F.least(n_blocks, F.col("n")).cast("int").alias("n_blocks")), "near_sizes")
-    blocks = scratch.save(rooted.join(sizes, "root").select("fp", "root", "n_blocks"), "near_blocks")
-    wanted = scratch.save(distinct.join(blocks, "fp").select("tk", F.col("least.doc_id").alias("least_id"), "root", "n_blocks"), "wanted")
+    marked = scratch.save(map_batches(texts, mark, f"doc_id {kind}, tk binary, chars long, fp long, bands array<long>"), "marked")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+    distinct = marked.groupBy("tk").agg(F.first("fp").alias("fp"), F.first("chars").alias("chars"), F.first("bands").alias("bands"), least.alias("least"))
+    distinct = scratch.save(distinct.withColumn("tid", F.monotonically_increasing_id()), "distinct")
+
+    near = connected_components(scratch.save(candidate_links(distinct, scratch, radius), "candidates"), scratch)
+    rooted = scratch.save(near.withColumnRenamed("node", "tid").join(distinct.select("tid", "tk", "chars", F.col("least.doc_id").alias("least_id")), "tid"), "near_roots")
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    small = F.least(F.ceil(F.col("n") / SMALL_BLOCK), F.lit(SMALL_BLOCKS))
+    n_blocks = F.greatest(F.ceil(F.col("n") / SET_BLOCK), small, F.ceil(F.col("chars") / BLOCK_CHARS))
+    sizes = scratch.save(sizes.select("root", "n", F.least(n_blocks, F.col("n")).cast("int").alias("n_blocks")), "near_sizes")
+    wanted = scratch.save(rooted.join(broadcast_if_small(sizes.select("root", "n_blocks"), NARROW_ROWS), "root").select("tk", "tid", "least_id", "root", "n_blocks"), "wanted")
+    n_dealt = sizes.agg(F.sum(F.col("n") * F.greatest(F.col("n_blocks") - 1, F.lit(1)))).first()[0] or 0
 
     found = texts.join(broadcast_if_small(wanted, NARROW_ROWS), "tk").where(F.col("doc_id").eqNullSafe(F.col("least_id")))
-    own = F.pmod(F.xxhash64("tk"), F.col("n_blocks")).cast("int")
+    own = F.pmod(F.xxhash64("tid"), F.col("n_blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_blocks") - 2, F.lit(0))), lambda i: i + (i >= F.col("own")).cast("int"))
     others = F.when(F.col("n_blocks") == 1, F.array(F.lit(0))).otherwise(pairs)
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("tk", "root", "own", "others")] + [pa.array(sets, pa.list_(pa.int64()))], ["tk", "root", "own", "others", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("tid", "root", "own", "others")] + [pa.array(sets, pa.list_(pa.int64()))], ["tid", "root", "own", "others", "hashes"])
 
-    found = found.withColumn("own", own).withColumn("others", others).select("tk", "root", "own", "others", "text")
-    found = map_batches(found, shingle, "tk long, root long, own int, others array<int>, hashes array<long>")
-    dealt = found.withColumn("other", F.explode("others")).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tk", "hashes")
-    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    found = found.withColumn("own", own).withColumn("others", others).select("tid", "root", "own", "others", "text")
+    found = map_batches(found, shingle, "tid long, root long, own int, others array<int>, hashes array<long>")
+    dealt = found.withColumn("other", F.explode("others")).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "hashes")
+    dealt = dealt.repartition(tasks_for(n_dealt, SET_BLOCK), "root", "i", "j").sortWithinPartitions("root", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in groups_of(batches, ["root", "i", "j"]):
-            sets = dict(zip(group["tk"].to_pylist(), (np.asarray(x.values) for x in group["hashes"])))
+            sets = dict(zip(group["tid"].to_pylist(), (np.asarray(x.values) for x in group["hashes"])))
             keys, sets = list(sets), list(sets.values())
             empty = [k for k, x in enumerate(sets) if not len(x)]
             some = [k for k, x in enumerate(sets) if len(x)]
@@ -383,44 +331,41 @@ def similar_groups(docs: DataFrame, scratch: Scratch, width: int, similarity: fl
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["a", "b"])
 
-    edges = scratch.save(map_batches(dealt, run, "a long, b long"), "similar_links")
-    same = connected_components(edges, scratch)
-    grouped = distinct.join(same.withColumnRenamed("node", "tk"), "tk", "left").select("tk", "least", F.coalesce("root", "tk").alias("root"))
+    same = connected_components(scratch.save(map_batches(dealt, run, "a long, b long"), "similar_links"), scratch)
+    grouped = distinct.select("tid", "tk", "least").join(same.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "tk", "least", F.coalesce("root", "tid").alias("root"))
     grouped = scratch.save(grouped, "grouped")
-    missed = scratch.save(prefix_links(texts, marked, grouped, scratch, width, similarity), "missed_links")
-    if not missed.isEmpty():
-        same = connected_components(scratch.save(edges.union(missed), "all_links"), scratch)
-        grouped = distinct.join(same.withColumnRenamed("node", "tk"), "tk", "left").select("tk", "least", F.coalesce("root", "tk").alias("root"))
-        grouped = scratch.save(grouped, "regrouped")
-    best = scratch.save(grouped.groupBy("root").agg(F.min(F.struct("least", "tk")).alias("best")), "best")
-    chosen = grouped.join(best, "root").where(F.col("tk") == F.col("best.tk")).select("tk", F.col("least.doc_id").alias("kept_id"))
-    chosen = scratch.save(chosen, "chosen")
+    best = scratch.save(grouped.groupBy("root").agg(F.min(F.struct("least", "tid")).alias("best")), "best")
+    chosen = grouped.join(best, "root").where(F.col("tid") == F.col("best.tid")).select("tk", F.col("least.doc_id").alias("kept_id"))
+    chosen = scratch.save(chosen.withColumn("chosen", F.lit(True)), "chosen")
     mine = F.col("chosen") & F.col("kept_id").eqNullSafe(F.col("doc_id"))
-    return marked.join(chosen.withColumn("chosen", F.lit(True)), "tk", "left").select("tk", "doc_id", F.coalesce(mine, F.lit(False)).alias("keep"))
-
-
-def text_key(text_col: str):
-    return F.xxhash64(F.lit(11), F.coalesce(F.col(text_col), F.lit("")))
+    return marked.select("tk", "doc_id").join(chosen, "tk", "left").select("tk", "doc_id", F.coalesce(mine, F.lit(False)).alias("keep"))
 
 
-def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near-duplicates: the row with the smallest id of each
     group, with all its columns. Groups are closed over pairs of texts whose
-    sets of word shingles have the Jaccard similarity or more. Candidates are
-    texts whose word fingerprints differ in at most ``radius`` bits, then, of
-    different groups so far, texts that share a prefix shingle, which no such
-    pair can fail to do. All are verified on whole texts. Equal texts are always one group; of rows
-    that are equal in id and text one stays."""
+    sets of word shingles have the Jaccard similarity or more; these are
+    verified exactly on whole texts.
+
+    Candidates are texts whose SimHash fingerprints the bit-sliced comparison
+    links, and, as a fingerprint's distance bounds no similarity, texts that
+    share a band of minima. Links of candidates make candidate groups, in which
+    every pair is verified, in blocks.
+
+    Cases: texts that are null or empty, or without words, are one group; equal
+    texts always are; of rows that are equal in id and text one stays, any;
+    rows without an id come last; an empty table gives an empty result; further
+    columns, whatever their names, stay as they are."""
     scratch = Scratch(docs.sparkSession, "dedup")
     marked = scratch.save(similar_groups(docs, scratch, width, similarity, radius, id_col, text_col), "verdicts")
-    keep = docs.withColumn("_tk", text_key(text_col))
-    gone = scratch.save(marked.where("NOT keep").select(F.col("tk").alias("_gone"), F.col("doc_id").alias("_gone_id")).distinct(), "gone")
-    left = keep.join(broadcast_if_small(gone, NARROW_ROWS), (F.col("_tk") == F.col("_gone")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left_anti")
-    twice = scratch.save(marked.where("keep").groupBy("tk", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select("tk").distinct(), "twice")
+    own, gone_key, gone_id = (unused(f"lexmill_{n}", docs) for n in ("key", "gone", "gone_id"))
+    gone = scratch.save(marked.where("NOT keep").select(F.col("tk").alias(gone_key), F.col("doc_id").alias(gone_id)).distinct(), "gone")
+    twice = scratch.save(marked.where("keep").groupBy("tk", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("tk").alias(gone_key)).distinct(), "twice")
     scratch.keep("gone", "twice")
-    if twice.isEmpty():
-        return left.drop("_tk")
-    repeated = twice.withColumnRenamed("tk", "_gone")
-    single = left.join(broadcast_if_small(repeated), F.col("_tk") == F.col("_gone"), "left_anti")
-    again = left.join(broadcast_if_small(repeated), F.col("_tk") == F.col("_gone"), "left_semi").dropDuplicates(["_tk"])
-    return single.unionByName(again).drop("_tk")
+    left = docs.withColumn(own, text_key(text_col))
+    same = F.col(f"`{own}`") == F.col(gone_key)
+    left = left.join(broadcast_if_small(gone, NARROW_ROWS), same & F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id)), "left_anti")
+    if not twice.isEmpty():
+        repeated = broadcast_if_small(twice, NARROW_ROWS)
+        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([own]))
+    return left.drop(own)

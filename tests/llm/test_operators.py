@@ -334,7 +334,7 @@ def test_one_of_each_group(spark, monkeypatch, block):
 
 @pytest.mark.parametrize("block", [1024, 2])
 def test_one_of_each_group_misses_no_pair(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "PREFIX_BLOCK", block)
+    monkeypatch.setattr(simhash, "SMALL_BLOCK", block)
     rng = random.Random(21)
     word = lambda: f"w{int(3000 ** rng.random())}"
     texts = []
