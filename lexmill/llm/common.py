@@ -3,6 +3,7 @@ batch sizing, names that clash with nothing and a grouped stream reader."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -86,6 +87,21 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tu
         yield now, pa.Table.from_batches(held)
 
 
+def release() -> None:
+    """Gives memory that is no longer used back to the system: idle workers
+    stay for a while, beside whatever runs next in their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library, which keeps what it keeps
+
+
 def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
