@@ -8,9 +8,10 @@ are its templates and are deleted: menus, adverts and footers go even if their
 words change from page to page.
 
 A page's main part, its article elements, or else the smallest element that
-holds most of its prose, is no template: outside of it structure decides,
-inside of it only links that recur with their words go, and prose stays, as the
-same article may stand on many pages. On hosts with fewer than ``MIN_PAGES``
+holds most of its prose, is no template: outside of it structure decides (on
+pages without article elements, for mere text under no name, structure and
+words), inside of it only parts without prose that recur with their words go,
+as the same article may stand on many pages. On hosts with fewer than ``MIN_PAGES``
 pages nothing can recur; there the markup's own declarations decide: what is in
 article elements stays, or without any, what no class or id names as something
 else. What HTML itself defines as no article (navigation, footers, asides,
@@ -87,11 +88,12 @@ PARTS = frozenset("article aside blockquote details div dl fieldset figure foote
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parts", "shape", "said", "prose", "loose", "role")
+    __slots__ = ("tag", "attrs", "parts", "shape", "said", "plain", "prose", "loose", "role")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.attrs, self.parts = tag, attrs, []
         self.shape = self.said = 0  # hashes of the structure, and of the structure with its words; 0 if nothing is in it
+        self.plain = False  # whether nothing but text is in it, under no name
         self.prose = self.loose = 0  # characters of prose, and of text outside links
         self.role = ""  # what a class or id names the element as: "comment", "other", or (only by a part of a name) "perhaps"
 
@@ -225,6 +227,8 @@ def describe(root: Node) -> None:
                 node.loose += 0 if linked else sum(map(len, got))
         if node.tag in PROSE and node.role != "other":
             node.prose = node.loose
+        kind = node.tag in ("div", "section", "p", "br", "hr") or node.tag in HEADINGS or node.tag not in BLOCK and node.tag not in ("a", "img", "input")
+        node.plain = kind and not any(named) and all(x.plain for x in node.parts if isinstance(x, Node))
         if not (inner or said or node.tag in ("img", "input")):
             continue
         if node.tag in BLOCK or node.tag in ("a", "img", "input"):
@@ -273,8 +277,8 @@ class Places:
         if node.tag not in BLOCK or node.tag in ("html", "body", "head") or not node.shape:
             return 0
         where = self(node)
-        if where == "beside":
-            return node.shape
+        if where == "beside":  # without articles, text under no name may be content that stands apart: its words have to recur
+            return node.shape if self.declared or not node.plain else node.said
         may = where == "main" and node.tag in PARTS and node.tag not in MAIN and not node.prose and 2 * node.loose <= self.loose
         return node.said if may and id(node) not in self.parts else 0
 

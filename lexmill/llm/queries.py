@@ -134,6 +134,18 @@ m AS (SELECT source, arg_min(doc_id, (abs(gap - size), rank_key, doc_id)) AS fit
 SELECT r.doc_id, r.size, r.source_size::BIGINT AS source_size, r.target,
   (CASE WHEN r.size = 0 THEN 0 ELSE r.size * (r.whole + CASE WHEN b.picked OR m.fit = r.doc_id THEN 1 ELSE 0 END) END)::BIGINT AS taken
 FROM r LEFT JOIN b ON b.doc_id = r.doc_id LEFT JOIN m ON m.source IS NOT DISTINCT FROM r.source
+""",
+    "op4_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, label, len(e) AS d, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.d = b.d AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+c AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, c.b) AS component_id, vec_id = least(vec_id, c.b) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 """,
     "op7_decontamination": r"""
 WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -178,7 +179,7 @@ def test_embedding_links(spark, monkeypatch, block):
             rows.append((i * 3 + j + 1, ((base + rng.normal(size=12) * rng.choice([0, 0.03, 0.06, 0.1])) * rng.choice([1, 5])).tolist(), i % 3))
     rows += [(900, None, 1), (901, [0.0] * 12, 1), (902, [float("nan")] * 12, 1), (903, [1.0, None], 1), (904, [1.0] * 12, None), (905, [], 1), (906, [2.0] * 6, 1), (907, [2.0] * 6, 1)]
     frame = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<double>, label int, cid long")
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame, recall=1.0).collect()}
     want = brute_links(rows)
     assert len(got) == len(rows)
     edges = [(i, j) for i, x in want.items() for j in x[0]]
@@ -199,6 +200,20 @@ def test_recall_below_one_is_met(spark):
     assert want and 0.9 * want <= got <= want
 
 
+def test_cells_are_visited_from_the_nearest_on():
+    rng = np.random.default_rng(7)
+    for reach in (0.05, 0.5, 5.0):
+        index = embedding_dedup.MultiIndex({}, reach)
+        for _ in range(20):
+            a, b = rng.random(9), rng.random(7)
+            a[rng.integers(9)] = b[rng.integers(7)] = 0
+            home = int(a.argmin() * 7 + b.argmin())
+            got = index.visits(a, b, home)
+            want = {i * 7 + j for i in range(9) for j in range(7) if a[i] + b[j] <= reach and i * 7 + j >= home}
+            bounds = [a[c // 7] + b[c % 7] for c in got]
+            assert set(got) == want | {home} and bounds == sorted(bounds)
+
+
 # ---- 5 licences ------------------------------------------------------------------------
 
 
@@ -433,6 +448,60 @@ def test_rare_templates_of_hot_hosts(spark):
     assert {r.page_id: r.text for r in got} == {k: f"Text {k} of its own" for k in range(400)}
 
 
+RULINGS = [
+    ('<body><article><header><h1>Head</h1><p>Lead</p></header><p class="form">Form</p><section class="related-work">Work</section></article>', "Head\n\nLead\n\nForm\n\nWork"),
+    ('<body><header>Site</header><article>Text</article><article class="comment">Reader</article><section id="comments"><article>More</article></section>', "Text"),
+    ('<body><article>Text<div class="ad">Buy</div><aside>Note</aside><p>End</article><div class="x">Beside</div>bare', "Text\n\nEnd"),
+    ('<body><div class="sidebar-left">Menu words</div><div id="content"><p>First paragraph of text.<p>Second</div><div class="cookie-bar">Accept</div>', "First paragraph of text.\n\nSecond"),
+    ('<div class="newsletter"><p>All of this page is in one part.</div>', "All of this page is in one part."),
+]
+
+
+@pytest.mark.parametrize("html, want", RULINGS)
+def test_markup_decides_on_small_hosts(html, want):
+    assert html_extract.extract(html, ()) == want
+
+
+def site(rng, n_hosts=4, n_pages=14):
+    """Pages built of parts, with the text of their articles."""
+    words = [f"w{k}" for k in range(200)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    out = []
+    for host in range(n_hosts):
+        tag, parts = rng.choice(["article", "main", "div"]), rng.sample(["menu", "ad", "box", "foot"], 3)
+        for k in range(n_pages):
+            told = [say(rng.randrange(12, 40)) for _ in range(rng.randrange(2, 6))]
+            made = {
+                "menu": f"<ul class='m1'>{''.join(f'<li><a href=/{say(1)}>{say(1)}</a>' for _ in range(rng.randrange(2, 7)))}</ul>", "ad": f"<div class='promo-{k}'><b>{say(3)}</b> {say(4)}</div>",
+                "box": f"<div><div class='b'><span>{say(5)}</span></div></div>", "foot": f"<div id='f'>{say(2)}<br>{say(6)}</div>",
+            }
+            beside = [made[x] for x in parts]
+            out.append((f"http://h{host}.example/{k}", f"<body>{beside[0]}<{tag} id='c{k}'>{''.join(f'<p>{t}' for t in told)}</{tag}>{beside[1]}{beside[2]}</body>", "\n\n".join(told)))
+    return out
+
+
+def test_sites_against_what_they_were_built_of(spark):
+    made = site(random.Random(31))
+    frame = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_articles(frame).collect()}
+    assert got == {k: t for k, (_, _, t) in enumerate(made)}
+    changed = sum(html_extract.extract(h, {html_extract.PAGE}) != t for _, h, t in made)
+    assert changed == len(made)  # it is the templates that find these texts
+    counted = {(r.host, r.hash): r.n for r in html_extract.recurring(frame.selectExpr("split_part(url, '/', 3) AS host", "html")).collect()}
+    plain = {}
+    for u, h, _ in made:
+        for x in html_extract.page_hashes(h):
+            plain[u.split("/")[2], x] = plain.get((u.split("/")[2], x), 0) + 1
+    assert counted == {k: n for k, n in plain.items() if n >= html_extract.MIN_PAGES}
+
+
+def test_broken_pages_take_linear_time():
+    for page in ("<div>" * 50 + "<p>x" + "</span>" * 150_000, "<div>" * 80_000 + "</em>" * 80_000, "<a>" * 150_000 + "x", "<p><b>" * 100_000):
+        began = time.perf_counter()
+        html_extract.extract(page, ())
+        assert time.perf_counter() - began < 10
+
+
 # ---- 9 quality ----------------------------------------------------------------------------------
 
 
