@@ -9,11 +9,13 @@ in it, whatever the document's length. Documents that hold a minimum of an
 item's sketch are candidates, without false negatives, and every candidate is
 verified by exact shingle containment on the words themselves.
 
-If all items' shingles are few enough to broadcast (they are counted first),
-documents' shingles are looked up where they are read, and only those that items
-share move: a candidate is a document with a minimum among them. Beyond that,
-shingle hashes are joined with the minima by shuffle, and the texts of the
-candidates are verified in a second pass. Both ways give the same rows.
+Items are searched for in blocks of at most ``BLOCK_SHINGLES`` shingles, which
+are broadcast; however many items there are, a broadcast is never larger, and
+documents are read again for each further block. The first pass over the
+documents looks up every shingle's hash among the minima where texts are read:
+only hits move. The second reads the candidates alone and looks their shingles
+up among those of the items, so that only shared shingles move; texts never do,
+unless candidates are too many for their keys to be broadcast.
 
 Cases: words are runs of letters and digits in lower case; a null or empty
 item, or one without words, is in no document; a null or empty document holds
@@ -28,12 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small
+from .common import Scratch, broadcast_if_small, unused
 
 WIDTH = 5
 CONTAINMENT = 0.8
-#: Shingles of all items, at most, that are broadcast.
-BROADCAST_SHINGLES = 200_000
+#: Shingles of the items, on the average at most, that are broadcast at a time.
+BLOCK_SHINGLES = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -52,8 +54,9 @@ def shingle_words(words: Column, width: int) -> Column:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """Names a row; equal keys of different rows only make a candidate more."""
-    return F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col))
+    """128 bits that name a row by id and text."""
+    parts = [F.coalesce(F.concat(F.lit("+"), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in (id_col, text_col)]
+    return F.substring(F.unhex(F.sha2(F.concat(parts[0], F.lit("\0"), parts[1]).cast("binary"), 256)), 1, 16)
 
 
 def _sketches(items: DataFrame, width: int, containment: float) -> DataFrame:
@@ -79,7 +82,7 @@ def find_items(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
-    broadcast_shingles: int = BROADCAST_SHINGLES,
+    block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """(row_key, doc_id, item_id, shared, n_shingles, containment) for every
     document and item of which it holds at least ``containment``."""
@@ -87,57 +90,39 @@ def find_items(
     named = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text"))
     sketched = scratch.save(_sketches(named, width, containment).withColumn("item", F.monotonically_increasing_id()), "sketches")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row_key"))
-    widths = [r.wide for r in sketched.select("wide").distinct().collect()]  # at most ``width`` values
+    widths = sorted(r.wide for r in sketched.select("wide").distinct().collect())  # at most ``width`` values
     n_shingles = sketched.agg(F.sum("n_shingles")).first()[0] or 0
-    find = _look_up if n_shingles <= broadcast_shingles else _verify_apart
-    found = find(texts, sketched, widths, scratch)
+    n_blocks = max(1, -(-n_shingles // max(1, block_shingles)))
+    found = None
+    for k in range(n_blocks):
+        block = sketched.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k)
+        part = _verified(texts, block, _candidates(texts, block, widths, scratch, k), widths, scratch, k)
+        found = part if found is None else found.unionByName(part)
     share = F.col("shared") / F.col("n_shingles")
     return found.where(F.round(share, 9) >= containment).select("row_key", "doc_id", "item_id", "shared", "n_shingles", share.alias("containment"))
 
 
-def _none(texts: DataFrame, sketched: DataFrame) -> DataFrame:
-    nothing = sketched.where(F.lit(False)).select("item", "item_id", "n_shingles", F.lit(0).alias("shared"))
-    return texts.select("row_key", "doc_id").where(F.lit(False)).join(nothing, F.lit(True), "inner")
-
-
-def _look_up(texts: DataFrame, sketched: DataFrame, widths: list[int], scratch: Scratch) -> DataFrame:
-    """Shared shingles of documents and items, counted where an item's minimum is among them."""
-    listed = sketched.select("item", "item_id", "wide", "n_shingles", "sketch", F.explode("shingles").alias("shingle"))
-    hits = None
-    for wide in widths:
-        own = listed.where(F.col("wide") == wide)
-        minimum = F.array_contains("sketch", F.xxhash64(*(F.get(F.split("shingle", " "), k) for k in range(wide))))
-        own = scratch.save(own.select("item", "item_id", "n_shingles", "shingle", minimum.alias("minimum")), f"shingles{wide}")
-        split = texts.select("row_key", "doc_id", words_of(F.col("text")).alias("words"))
-        shingles = split.select("row_key", "doc_id", F.explode(shingle_words(F.col("words"), wide)).alias("shingle"))
-        met = shingles.join(F.broadcast(own), "shingle")
-        hits = met if hits is None else hits.unionByName(met)
-    if hits is None:
-        return _none(texts, sketched)
+def _each_width(words: Column, widths: list[int], shingles) -> Column:
+    """All widths' shingles in one array, so that texts are split once."""
+    return F.concat(*(shingles(words, w) for w in widths)) if widths else F.array()
+
+
+def _candidates(texts: DataFrame, block: DataFrame, widths: list[int], scratch: Scratch, k: int) -> DataFrame:
+    """(row_key, item): documents that hold a minimum of an item's sketch."""
+    minima = scratch.save(block.select("item", F.explode("sketch").alias("h")), f"minima{k}")
+    hashes = texts.select("row_key", words_of(F.col("text")).alias("words")).select("row_key", F.explode(_each_width(F.col("words"), widths, shingle_hashes).cast("array<long>")).alias("h"))
+    return scratch.save(hashes.join(F.broadcast(minima), "h").select("row_key", "item").distinct(), f"candidates{k}")
+
+
+def _verified(texts: DataFrame, block: DataFrame, candidates: DataFrame, widths: list[int], scratch: Scratch, k: int) -> DataFrame:
+    """Shared shingles of the candidates, counted on the words themselves."""
+    listed = scratch.save(block.select("item", "item_id", "n_shingles", F.explode("shingles").alias("shingle")), f"shingles{k}")
+    asked = texts.join(broadcast_if_small(scratch.save(candidates.select("row_key").distinct(), f"asked{k}")), "row_key", "left_semi")
+    split = asked.select("row_key", "doc_id", words_of(F.col("text")).alias("words"))
+    own = split.select("row_key", "doc_id", F.explode(_each_width(F.col("words"), widths, shingle_words).cast("array<string>")).alias("shingle"))
     keys = ["row_key", "doc_id", "item", "item_id", "n_shingles"]
-    once = hits.groupBy(*keys, "shingle").agg(F.max("minimum").alias("minimum"))
-    return once.groupBy(*keys).agg(F.count("*").alias("shared"), F.max("minimum").alias("candidate")).where("candidate").drop("candidate")
-
-
-def _verify_apart(texts: DataFrame, sketched: DataFrame, widths: list[int], scratch: Scratch) -> DataFrame:
-    """Candidates by shuffled minima; then their texts are searched for the item's shingles."""
-    split = texts.select("row_key", words_of(F.col("text")).alias("words"))
-    candidates = None
-    for wide in widths:
-        minima = scratch.save(sketched.where(F.col("wide") == wide).select("item", F.explode("sketch").alias("h")), f"minima{wide}")
-        hashes = split.select("row_key", F.explode(shingle_hashes(F.col("words"), wide)).alias("h"))
-        found = hashes.join(broadcast_if_small(minima), "h").select("row_key", "item").distinct()
-        candidates = found if candidates is None else candidates.union(found)
-    if candidates is None:
-        return _none(texts, sketched)
-    candidates = scratch.save(candidates, "candidates")
-    spaced = F.concat(F.lit(" "), F.concat_ws(" ", words_of(F.col("text"))), F.lit(" "))
-    rows = texts.join(candidates.select("row_key").distinct(), "row_key", "left_semi").select("row_key", "doc_id", spaced.alias("spaced"))
-    rows = scratch.save(rows, "candidate_texts")
-    wanted = sketched.select("item", "item_id", "n_shingles", "shingles")
-    shared = F.size(F.filter("shingles", lambda s: F.contains(F.col("spaced"), F.concat(F.lit(" "), s, F.lit(" ")))))
-    verified = candidates.join(wanted, "item").join(rows, "row_key").select("row_key", "doc_id", "item", "item_id", "n_shingles", shared.alias("shared"))
-    return verified.groupBy("row_key", "doc_id", "item", "item_id", "n_shingles").agg(F.max("shared").alias("shared"))
+    shared = own.join(F.broadcast(listed), "shingle").select(*keys, "shingle").distinct().groupBy(*keys).agg(F.count("*").alias("shared"))
+    return shared.join(broadcast_if_small(candidates), ["row_key", "item"], "left_semi")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -151,5 +136,6 @@ def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     scratch = Scratch(docs.sparkSession, "leaks")
-    keys = scratch.save(find_items(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("row_key").alias("leaked")).distinct(), "leaks")
-    return docs.join(broadcast_if_small(keys), row_key(id_col, text_col) == F.col("leaked"), "left_anti")
+    leaked = unused("lexmill_leaked", docs)
+    keys = scratch.save(find_items(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("row_key").alias(leaked)).distinct(), "leaks")
+    return docs.join(broadcast_if_small(keys), row_key(id_col, text_col) == F.col(leaked), "left_anti")

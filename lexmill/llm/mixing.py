@@ -13,11 +13,14 @@ A source may hold any share of all rows: sums per (source, length class) and
 per (source, rank bin) are combined before they are shuffled, and only the bin
 in which a source's sample ends, about one of 16,384, is ordered.
 
+The random number comes from id, source and text. Rows that are equal in all
+three share it and are one group in the order; as many of them as fit are taken,
+those that come first where the input is read.
+
 Cases: a null text has size 0 and is never taken; a null source is a source of
-its own, after all others; a null id is hashed like any other value; rows
-that are equal in id, source and text share their random number and are taken
-together; with no words at all every target is 0; an empty
-table gives an empty result. Only the named columns are read.
+its own, after all others; a null id is a value like any other; with no words at
+all every target is 0; an empty table gives an empty result. Only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if_small
 
+#: More than any place of a row.
+ALL_PLACES = (1 << 63) - 1
+
 WORD = r"[^\x20\x09-\x0D]+"
 SOURCE_WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -37,9 +43,10 @@ SEED = "mix-1"
 LEAST = 1e-9
 
 
-def uniform(key: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1) that the key and seed decide."""
-    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), key.cast("string"))), 1, 13)
+def uniform(key: Column, source: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in (0, 1) that id, source, text and seed decide."""
+    parts = (F.coalesce(x.cast("string"), F.lit("")) for x in (key, source, F.md5(text.cast("binary"))))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), *parts)), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -105,10 +112,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(spark, "mix")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     carried = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep or [])]
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(id_col, source_col, text_col).alias("rid"), *carried)
+    rid = F.xxhash64(id_col, source_col, text_col).alias("rid")
+    u = uniform(F.col(id_col), F.col(source_col), F.col(text_col), seed).alias("u")
+    place = F.monotonically_increasing_id().alias("place")  # tells equal rows apart, in every read of the same input
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), rid, u, place, *carried)
     number, g = length_class(F.col("size"))
     skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    base = base.select("*", number.alias("class"), g.alias("g"), skey.alias("skey"), uniform(F.col("doc_id"), seed).alias("u"))
+    base = base.select("*", number.alias("class"), g.alias("g"), skey.alias("skey"))
     rows = scratch.save(base.drop(*(f"kept_{i}" for i in range(len(carried)))), "keyed")
     keyed = base if carried else rows  # texts to carry are read again rather than stored
 
@@ -125,26 +135,50 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = scratch.save(ends.select("skey", F.coalesce("x.bin", F.lit(BINS)).alias("end"), F.coalesce("x.before", "all").alias("before")), "ends")
     ranked = ranked.join(broadcast_if_small(ends), "skey")
 
-    in_order = Window.partitionBy("skey").orderBy("rank_key", "doc_id", "size", "rid")
-    closing = ranked.where("bin = end").withColumn("upto", F.col("before") + F.sum("size").over(in_order)).select("skey", "rid", "size", "quota", "before", (F.col("upto") <= F.col("quota")).alias("picked"))
-    closing = scratch.save(closing, "closing")
-    gaps = closing.groupBy("skey").agg(F.sum(F.when(F.col("picked"), F.col("size")).otherwise(0)).alias("got"))
+    alike = ["skey", "rank_key", "doc_id", "rid", "size", "quota", "before"]
+    closing = ranked.where("bin = end").groupBy(*alike).agg(F.count("*").alias("n"))
+    in_order = Window.partitionBy("skey").orderBy("rank_key", "doc_id", "rid", "size").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("quota") - F.col("before") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(in_order), F.lit(0))
+    taken = F.greatest(F.lit(0), F.least(F.col("n"), F.floor(room / F.col("size") + LEAST)))
+    closing = scratch.save(closing.select("skey", "rid", "size", "n", taken.cast("long").alias("taken")), "closing")
+    gaps = closing.groupBy("skey").agg(F.sum(F.col("size") * F.col("taken")).alias("got"))
     gaps = scratch.save(ends.join(gaps, "skey", "left").select("skey", (F.col("before") + F.coalesce("got", F.lit(0))).alias("got")), "gaps")
+    used_up = closing.where("taken = n").select("rid")
+    gap = F.col("quota") - F.col("got")
     left = (
         ranked.where("bin >= end")
         .join(broadcast_if_small(gaps), "skey")
-        .join(broadcast_if_small(closing.where("picked").select("rid")), "rid", "left_anti")
-        .withColumn("off", F.abs(F.col("quota") - F.col("got") - F.col("size")))
-        .where(F.col("off") < F.col("quota") - F.col("got"))
+        .join(broadcast_if_small(used_up), "rid", "left_anti")
+        .withColumn("off", F.abs(gap - F.col("size")))
+        .where(F.col("off") < gap)
     )
-    fitting = left.groupBy("skey").agg(F.min(F.struct("off", "rank_key", "doc_id", "size", "rid")).alias("x")).select("x.rid")
-    extra = scratch.save(closing.where("picked").select("rid").union(fitting).distinct(), "extra").withColumn("extra", F.lit(1))
+    fitting = left.groupBy("skey").agg(F.min(F.struct("off", "rank_key", "doc_id", "size", "rid")).alias("x")).select("x.rid", F.lit(1).alias("taken"))
+    extra = closing.where("taken > 0").select("rid", "taken").union(fitting).groupBy("rid").agg(F.sum("taken").alias("taken"))
+    extra = scratch.save(extra.join(closing.select("rid", "n"), "rid", "left"), "extra")
+    parted = scratch.save(_last_places(rows, extra.where("n IS NULL OR taken < n"), scratch), "parted")
+    whole = extra.where("taken = n").select("rid", F.lit(ALL_PLACES).alias("upto"))
+    extra = scratch.save(whole.union(parted), "upto")
 
     out = keyed.join(plan, ["skey", "class"]).join(broadcast_if_small(ends), "skey", "left").withColumn("rank_key", odds_key)
     out = out.join(broadcast_if_small(extra), "rid", "left")
     sampled = (F.col("part") > 0) & (F.col("size") > 0) & (F.floor(F.col("rank_key") * BINS) < F.col("end"))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(sampled, 1).otherwise(F.coalesce("extra", F.lit(0)))).otherwise(0).cast("long")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(sampled | (F.col("place") <= F.coalesce("upto", F.lit(-1))), 1).otherwise(0)).otherwise(0).cast("long")
     out = out.withColumn("copies", copies)
     if keep is not None:
         return out.select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)), F.col("copies").alias(copies_name))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _last_places(rows: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rid, upto): the place of the last of the first ``taken`` rows of each
+    rid, a few per source. Places are counted per partition of the input, and
+    ordered in the one in which the last is."""
+    wanted = broadcast_if_small(scratch.save(wanted.select("rid", "taken"), "wanted"))
+    found = rows.join(wanted, "rid").select("rid", "taken", "place", F.shiftright("place", 33).alias("part"))
+    parts = found.groupBy("rid", "taken", "part").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("rid").orderBy("part"))
+    last = parts.withColumn("upto", upto).where((F.col("upto") >= F.col("taken")) & (F.col("upto") - F.col("n") < F.col("taken")))
+    last = scratch.save(last.select("rid", "part", (F.col("taken") - F.col("upto") + F.col("n")).alias("nth")), "last_parts")
+    within = found.join(broadcast_if_small(last), ["rid", "part"])
+    nth = F.row_number().over(Window.partitionBy("rid").orderBy("place"))
+    return within.withColumn("k", nth).where("k = nth").select("rid", F.col("place").alias("upto"))

@@ -4,16 +4,19 @@ Overlapping heuristic labellers vote on each document: junk, prose or nothing.
 Expectation-maximisation over the counts of vote patterns (of all documents)
 estimates how each labeller votes on either class, and so its accuracy; the
 posterior of a document's pattern labels it. Documents of a bounded sample,
-with these labels, train a linear scorer on hashed features, which judges all.
+with these labels, train a linear scorer on hashed features (words, word shapes,
+binned statistics), which judges all.
 
 Nothing but the pattern counts (3 to the number of labellers at most) and the
-features of the sample (``SAMPLE`` rows) comes to the driver.
+features of the sample (``SAMPLE`` different rows at most, those of the smallest
+hashes) comes to the driver.
 
 Cases: a null text counts as empty; a text without words scores 0 and is
 rejected; whole texts count, whatever their length; repeated rows get equal
 scores; a null id is hashed like any other; an empty table gives an empty
 result, and a table on which no labeller votes keeps everything that has words.
-Only the text and id columns are read, all others pass through.
+Only the text and id columns are read, all others pass through; where there is a
+column of the name of the score, the score's name gets an underscore.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_threshold, hash31, map_batches, small_batches
+from .common import fit_threshold, map_batches, release, small_batches, unused
 
 SAMPLE = 6000
-FEATURES = 1 << 12
+FEATURES = 1 << 16
 THRESHOLD = 0.5
 ROUNDS = 60
 JUNK, PROSE, NOTHING = 0, 1, 2
@@ -62,7 +65,7 @@ def _squeeze(shape: bytes) -> bytes:
     for c in shape:
         if len(out) < 2 or out[-1] != c or out[-2] != c:
             out.append(c)
-    return bytes(out[:12])
+    return bytes(out)
 
 
 _KNOWN: dict[bytes, tuple] = {}
@@ -159,38 +162,37 @@ def estimate(counts: dict[int, int], rounds: int = ROUNDS) -> tuple[dict[int, fl
     return dict(zip(patterns, good.tolist())), {name: float(a) for (name, _, _), a in zip(LABELLERS, accuracy)}, float(share)
 
 
-def features(s: Stats) -> dict[int, float]:
-    """Hashed features of unit length: square roots of the shares of squeezed
+def features(s: Stats, text: str | None) -> dict[int, float]:
+    """Hashed features: square roots of the shares of words and of squeezed
     word shapes, and marks of the binned statistics."""
     out: dict[int, float] = {}
+    crc = zlib.crc32
     for shape, k in s.shapes.items():
-        i = zlib.crc32(b"shape:" + shape) % FEATURES
+        i = crc(b"shape:" + shape) % FEATURES
+        out[i] = out.get(i, 0.0) + k
+    for word, k in Counter((text or "").encode().lower().split()).items():
+        i = crc(word) % FEATURES
         out[i] = out.get(i, 0.0) + k
     out = {i: (v / s.words) ** 0.5 for i, v in out.items()}
     for name, x in (("stutter", s.stutter), ("repeats", s.repeats), ("run", min(s.run, 9) / 20), ("capitals", s.capitals), ("symbols", s.symbols), ("bars", s.bars), ("tails", s.tails), ("prose", 1 - s.prose)):
-        i = zlib.crc32(f"{name}:{min(9, int(x * 20))}".encode()) % FEATURES
+        i = crc(f"{name}:{min(9, int(x * 20))}".encode()) % FEATURES
         out[i] = out.get(i, 0.0) + 0.5
     return out
 
 
-def train(rows: list[dict[int, float]], target: np.ndarray, steps: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, by gradient steps with momentum."""
-    weights, bias = np.zeros(FEATURES), 0.0
-    if not rows:
+def train(at: np.ndarray, value: np.ndarray, row: np.ndarray, target: np.ndarray, steps: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels, by gradient steps with momentum.
+    Features come as (row, feature, value)."""
+    weights = np.zeros(FEATURES)
+    n = len(target)
+    if not n:
         return weights, 3.0
-    used = sorted({i for r in rows for i in r})
-    at = {i: k for k, i in enumerate(used)}
-    x = np.zeros((len(rows), len(used) + 1), np.float32)
-    x[:, -1] = 1
-    for k, r in enumerate(rows):
-        for i, v in r.items():
-            x[k, at[i]] = v
-    w = np.zeros(x.shape[1], np.float32)
-    speed = np.zeros_like(w)
-    target = target.astype(np.float32)
+    used, at = np.unique(at, return_inverse=True)
+    w, speed = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        speed = 0.9 * speed - 0.5 * (x.T @ (p - target) / len(rows) + l2 * w)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[at], n) + w[-1], -30, 30)))
+        gap = (p - target) / n
+        speed = 0.9 * speed - 0.5 * np.append(np.bincount(at, value * gap[row], len(used)) + l2 * w[:-1], gap.sum())
         w = w + speed
     weights[used] = w[:-1]
     return weights, float(w[-1])
@@ -207,7 +209,8 @@ class Model:
         s = stats(text)
         if not s.words:
             return 0.0
-        z = self.bias + sum(self.weights[i] * v for i, v in features(s).items())
+        found = features(s, text)
+        z = self.bias + self.weights[list(found)] @ list(found.values())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -225,23 +228,30 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = [stats(t) for t in batch.column(0).to_pylist()]
-            found = [sorted(features(s).items()) for s in every]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([pattern(s) for s in every], pa.int64()), pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[v for _, v in f] for f in found], pa.list_(pa.float32()))],
-                ["pattern", "at", "value"],
-            )
-
-    chosen = narrow.where(F.length("text") > 0).where(hash31(F.lit(9), F.col("id"), F.col("text")) < fit_threshold(sum(counts.values()), sample))
-    got = sorted(((r.pattern, r["at"], r["value"]) for r in map_batches(chosen, rows, "pattern long, at array<int>, value array<float>").limit(2 * sample).collect()))
-    weights, bias = train([dict(zip(at, value)) for _, at, value in got], np.array([posteriors.get(p, share) for p, _, _ in got]))
+            texts = batch.column("text").to_pylist()
+            every = [stats(t) for t in texts]
+            found = [features(s, t) for s, t in zip(every, texts)]
+            columns = [pa.array([pattern(s) for s in every], pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), *columns], ["h", "pattern", "at", "value"])
+
+    some = narrow.where(F.length("text") > 0).withColumn("h", F.xxhash64(F.lit(9), F.col("id"), F.col("text")))
+    some = some.where(F.shiftrightunsigned("h", 33) < fit_threshold(sum(counts.values()), 2 * sample))  # about twice as many as wanted, if none repeat
+    chosen = some.select("h").distinct().orderBy(F.shiftrightunsigned("h", 33), "h").limit(sample)
+    features_of = map_batches(some.join(F.broadcast(chosen), "h").select("h", "text"), rows, "h long, pattern long, at array<int>, value array<float>")
+    got = features_of.groupBy("h").agg(F.first(F.struct("pattern", "at", "value")).alias("x")).select("h", "x.*").orderBy("h").toArrow()
+    at, value = (got[c].combine_chunks() for c in ("at", "value"))
+    row = np.repeat(np.arange(len(got)), np.diff(at.offsets.to_numpy())) if len(got) else np.zeros(0, np.int64)
+    target = np.array([posteriors.get(p, share) for p in got["pattern"].to_pylist()])
+    weights, bias = train(at.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy().astype(float), row, target)
     return Model(weights, bias, posteriors, accuracy)
 
 
 def score_column(model: Model, text: Column) -> Column:
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
+        out = pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
+        release()
+        return out
 
     return score(text)
 
@@ -249,5 +259,5 @@ def score_column(model: Model, text: Column) -> Column:
 def classify(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: Model | None = None, score_name: str = "quality_score") -> DataFrame:
     """``docs`` with the score, from 0 (junk) to 1; ``THRESHOLD`` and more is kept."""
     small_batches(docs.sparkSession)
-    model = model or fit(docs, text_col, id_col)
-    return docs.withColumn(score_name, score_column(model, F.col(text_col)))
+    model = fit(docs, text_col, id_col) if model is None else model
+    return docs.withColumn(unused(score_name, docs), score_column(model, F.col(f"`{text_col}`")))

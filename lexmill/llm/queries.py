@@ -71,29 +71,50 @@ QUERIES = {
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
 
+# Patterns of attributes and refreshes, as SQL strings.
+_ATTR = r"""'(?is)([^\s"''>/=]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)'"""
+_REFRESH = r"""'(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*["'']?\s*(.*?)\s*["'']?\s*$'"""
+
+
+def _resolved(base: str, reference: str) -> str:
+    """SQL for the url that a reference means on a page."""
+    ref = f"regexp_replace({reference}, '#.*$', '')"
+    part = lambda k: f"regexp_extract({base}, '^([^:/?#]*)(://[^/?#]*)([^?#]*)', {k})"
+    own = f"regexp_extract({ref}, '^([^?]*)', 1)"
+    path = f"CASE WHEN starts_with({ref}, '/') THEN {own} ELSE regexp_extract(coalesce(nullif({part(3)}, ''), '/'), '^(.*/)[^/]*$', 1) || {own} END"
+    parts = f"string_split({path}, '/')"
+    parts = f"list_concat({parts}, CASE WHEN regexp_matches({path}, '(^|/)\\.\\.?$') THEN [''] ELSE [] END)"
+    walk = "list_reduce(list_transform({}, lambda p: [p]), lambda o, p: CASE p[1] WHEN '.' THEN o WHEN '..' THEN o[1:greatest(len(o) - 1, 1)] ELSE list_concat(o, p) END)".format(parts)
+    query = f"regexp_extract({ref}, '^[^?]*(\\?.*)$', 1)"
+    return f"""CASE WHEN {base} IS NULL OR instr({base}, '://') = 0 OR {ref} = '' THEN NULL WHEN regexp_matches({ref}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {ref}
+    WHEN regexp_matches({ref}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with({ref}, '//') THEN {part(1)} || ':' || {ref}
+    WHEN starts_with({ref}, '?') THEN {part(1)} || {part(2)} || {part(3)} || {query} ELSE {part(1)} || {part(2)} || array_to_string({walk}, '/') || {query} END"""
+
+
 SQL = {
     "op1_url_filter": rf"""
 WITH RECURSIVE rules(v, h, p) AS (VALUES {_RULES}),
-link AS (
-  SELECT url AS a, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1)]) AS b
-  FROM pages WHERE instr(url, '://') > 0),
+tag AS (
+  SELECT url AS page, i, tag, lower(substr(tag, 2, 4)) AS kind, list_transform(regexp_extract_all(tag, {_ATTR}, 1), lambda x: lower(x)) AS n,
+    list_transform(regexp_extract_all(tag, {_ATTR}, 2), lambda v: regexp_replace(regexp_replace(trim(regexp_replace(v, '^["'']|["'']$', '', 'g')), '&(?:amp|#38|#x26);', '&', 'g'), '[\t\r\n]', '', 'g')) AS v
+  FROM (SELECT url, unnest(t) AS tag, generate_subscripts(t, 1) AS i FROM (
+    SELECT url, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<(?:script|style|textarea|xmp)\b.*?(?:</(?:script|style|textarea|xmp)\b[^>]*>|\z)', ' ', 'g'),
+      '(?is)<(?:link|meta|base)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>') AS t FROM pages WHERE instr(url, '://') > 0))),
+base AS (SELECT page, arg_min(v[list_position(n, 'href')], i) AS b FROM tag WHERE kind = 'base' AND list_contains(n, 'href') GROUP BY page),
+stated AS (
+  SELECT page, CASE WHEN kind = 'link' AND list_contains(string_split_regex(lower(v[list_position(n, 'rel')]), '\s+'), 'canonical') THEN v[list_position(n, 'href')]
+    WHEN kind = 'meta' AND lower(v[list_position(n, 'http-equiv')]) = 'refresh' THEN regexp_extract(v[list_position(n, 'content')], {_REFRESH}, 1) END AS r FROM tag),
 pair AS (
-  SELECT a, CASE WHEN instr(b, '://') > 0 THEN replace(b, '&amp;', '&')
-    WHEN starts_with(b, '//') THEN regexp_extract(a, '^(.*?)://', 1) || ':' || replace(b, '&amp;', '&')
-    WHEN starts_with(b, '/') THEN regexp_extract(a, '^(.*?://[^/?#]*)', 1) || replace(b, '&amp;', '&')
-    ELSE regexp_extract(a, '^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(a, '^.*?://[^/?#]*((?:/[^?#/]*)*/)', 1), ''), '/') || replace(b, '&amp;', '&') END AS b
-  FROM link WHERE b <> ''),
-whole AS (SELECT url AS u FROM pages UNION SELECT a FROM pair UNION SELECT b FROM pair),
+  SELECT DISTINCT page AS a, {_resolved("coalesce(" + _resolved("page", "b") + ", page)", "r")} AS b FROM stated LEFT JOIN base USING (page) WHERE r <> ''),
+whole AS (SELECT url AS u FROM pages UNION SELECT a FROM pair WHERE b IS NOT NULL UNION SELECT b FROM pair WHERE b IS NOT NULL),
 part AS (
   SELECT u, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(r, '^[^?#]*(\?[^#]*)', 1) AS query, u IS NOT NULL AND instr(u, '://') > 0 AS ok
   FROM (SELECT u, CASE WHEN instr(u, '://') > 0 THEN substr(u, instr(u, '://') + 3) ELSE '' END AS r FROM whole)),
 judged AS (
   SELECT u, host, path, CASE WHEN ok THEN host || CASE path WHEN '' THEN '/' ELSE path END || query END AS node,
-    (SELECT max_by(v, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS v,
-    (SELECT max_by(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule
+    (SELECT max_by(v, (length(h || p), length(h))) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS v,
+    (SELECT max_by(h || p, (length(h || p), length(h))) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule
   FROM part),
 edge AS (
   SELECT x.node AS a, y.node AS b FROM pair JOIN judged x ON x.u = pair.a JOIN judged y ON y.u = pair.b
@@ -108,7 +129,7 @@ FROM pages JOIN judged ON judged.u IS NOT DISTINCT FROM pages.url LEFT JOIN spre
     "op2_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    (('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+    (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(source, '') || ':' || coalesce(md5(text), '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
 c AS (SELECT *, CASE WHEN size < 64 THEN 0 WHEN size < 256 THEN 1 WHEN size < 1024 THEN 2 WHEN size < 4096 THEN 3 ELSE 4 END AS class FROM d),
 s AS (SELECT source, sum(size)::DOUBLE AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
 f AS (

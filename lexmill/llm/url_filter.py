@@ -7,10 +7,16 @@ one of its aliases (a url that redirects or canonical links join with it,
 directly or through others) is blocked by a rule and none is allowed by one;
 else it is allowed.
 
+All canonical links and refreshes of a page count, but for those in comments,
+scripts, styles and text areas. References are resolved against the page's url,
+or its first base element: dot segments, queries alone and references without a
+scheme among them. One that stays on the page (nothing, or a fragment alone),
+or has a scheme without ``://`` (such as mailto), is no link.
+
 Cases: a null url, or one without ``://``, has an empty host and path, fits no
 rule and is nobody's alias; a null or empty page has no links; repeated rows
-get equal verdicts; empty tables give empty results. Only the named columns
-are read.
+get equal verdicts; texts are read whole; empty tables give empty results. Only
+the named columns are read, so that others cannot clash.
 """
 
 from __future__ import annotations
@@ -33,10 +39,11 @@ RULES = [
 #: Up to so many rules are tested in place; more are joined by host suffix.
 RULES_IN_PLACE = 256
 
-LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>;]+)"
+#: What is read as no markup.
+SKIPPED = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style|textarea|xmp)\b.*?(?:</(?:script|style|textarea|xmp)\b[^>]*>|\z)"
+TAG = r"""(?is)<(?:link|meta|base)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+ATTRIBUTE = r"""(?is)([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+REFRESH_URL = r"""(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*["']?\s*(.*?)\s*["']?\s*$"""
 
 
 def _rest(url: Column) -> Column:
@@ -66,7 +73,7 @@ def with_rules(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """Adds rule and rule_verdict of the longest rule that fits host and path."""
     if len(rules) <= RULES_IN_PLACE:
         rule = decided = F.lit(None).cast("string")
-        for verdict, host, path in sorted(rules, key=lambda r: (len(r[1]), len(r[2]))):
+        for verdict, host, path in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), len(r[1]))):
             fits = _fits(F.col("host"), F.col("path"), host, path)
             rule = F.when(fits, F.lit(host + path)).otherwise(rule)
             decided = F.when(fits, F.lit(verdict)).otherwise(decided)
@@ -79,29 +86,58 @@ def with_rules(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keys = urls.select("host", "path").distinct()
     fits = keys.withColumn("rule_host", F.explode(suffixes)).join(listed, "rule_host").where(F.expr("startswith(path, rule_path)"))
-    longest = F.max(F.struct(F.length("rule_host").alias("a"), F.length("rule_path").alias("b"), F.concat("rule_host", "rule_path").alias("rule"), "v"))
+    longest = F.max(F.struct(F.length(F.concat("rule_host", "rule_path")).alias("a"), F.length("rule_host").alias("b"), F.concat("rule_host", "rule_path").alias("rule"), "v"))
     best = fits.groupBy("host", "path").agg(longest.alias("x")).select("host", "path", "x.rule", F.col("x.v").alias("rule_verdict"))
     return urls.join(best, ["host", "path"], "left")
 
 
-def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b) url pairs that the pages' canonical links and refreshes state."""
-    targets = F.array(
-        F.regexp_extract(F.regexp_extract(html_col, LINK, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract(html_col, REFRESH, 0), REFRESH_URL, 1),
+def resolved(base: Column, reference: Column) -> Column:
+    """The url that a reference means on a page; null if it is no link."""
+    ref = F.regexp_replace(reference, r"#.*$", "")
+    part = lambda k: F.regexp_extract(base, r"^([^:/?#]*)(://[^/?#]*)([^?#]*)", k)
+    path = F.when(ref.startswith("/"), F.regexp_extract(ref, r"^([^?]*)", 1)).otherwise(
+        F.concat(F.regexp_extract(F.when(part(3) == "", "/").otherwise(part(3)), r"^(.*/)[^/]*$", 1), F.regexp_extract(ref, r"^([^?]*)", 1))
     )
-    found = pages.where(F.instr(url_col, "://") > 0).select(F.col(url_col).alias("a"), F.explode(targets).alias("b")).where("b != ''")
-    scheme = F.regexp_extract("a", r"^(.*?)://", 1)
-    host = F.regexp_extract("a", r"^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract("a", r"^(.*?://[^/?#]*(?:/[^?#/]*)*/)", 1)
-    b = F.regexp_replace("b", "&amp;", "&")
-    full = (
-        F.when(F.instr("b", "://") > 0, b)
-        .when(F.col("b").startswith("//"), F.concat(scheme, F.lit(":"), b))
-        .when(F.col("b").startswith("/"), F.concat(host, b))
-        .otherwise(F.concat(F.when(folder == "", F.concat(host, F.lit("/"))).otherwise(folder), b))
+    query = F.regexp_extract(ref, r"^[^?]*(\?.*)$", 1)
+    own_path = F.concat(part(1), part(2), part(3), query)
+    return (
+        F.when((base.isNull()) | (F.instr(base, "://") == 0) | (ref == ""), None)
+        .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), ref)
+        .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(ref.startswith("//"), F.concat(part(1), F.lit(":"), ref))
+        .when(ref.startswith("?"), own_path)
+        .otherwise(F.concat(part(1), part(2), without_dots(path), query))
     )
-    return found.select("a", full.alias("b"))
+
+
+def without_dots(path: Column) -> Column:
+    """A path from the root without ``.`` and ``..``."""
+    parts = F.split(path, "/")
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    up = lambda out: F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(1)))
+    walk = lambda out, p: F.when(p == ".", out).when(p == "..", up(out)).otherwise(F.concat(out, F.array(p)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), walk)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(kept, "/")).otherwise(path)
+
+
+def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(a, b) url pairs that the pages' canonical links and refreshes state."""
+    tags = F.regexp_extract_all(F.regexp_replace(F.col(html_col), SKIPPED, " "), F.lit(TAG), F.lit(0))
+    found = pages.where((F.instr(url_col, "://") > 0) & F.contains(F.lower(html_col), F.lit("<"))).select(F.col(url_col).alias("page"), tags.alias("tags")).where(F.size("tags") > 0)
+    names = lambda t: F.transform(F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
+    plain = lambda v: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(v, "^[\"']|[\"']$", "")), "&(?:amp|#38|#x26);", "&"), r"[\t\r\n]", "")
+    values = lambda t: F.transform(F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(2)), plain)
+    read = F.transform("tags", lambda t: F.struct(F.lower(F.substr(t, F.lit(2), F.lit(4))).alias("tag"), names(t).alias("n"), values(t).alias("v")))
+    value = lambda t, name: F.get(t["v"], F.array_position(t["n"], name).cast("int") - 1)
+    read = found.select("page", read.alias("read"))
+    base = F.get(F.filter(F.transform("read", lambda t: F.when(t["tag"] == "base", value(t, "href"))), lambda x: x.isNotNull()), 0)
+    canonical = lambda t: (t["tag"] == "link") & F.array_contains(F.split(F.lower(value(t, "rel")), r"\s+"), "canonical")
+    refresh = lambda t: (t["tag"] == "meta") & (F.lower(value(t, "http-equiv")) == "refresh")
+    target = lambda t: F.when(canonical(t), value(t, "href")).when(refresh(t), F.regexp_extract(value(t, "content"), REFRESH_URL, 1))
+    targets = F.filter(F.transform("read", target), lambda x: x.isNotNull() & (x != ""))
+    stated = read.select("page", base.alias("base"), F.explode(targets).alias("reference"))
+    on = F.coalesce(resolved(F.col("page"), F.col("base")), F.col("page"))
+    return stated.select(F.col("page").alias("a"), resolved(on, F.col("reference")).alias("b")).where("b IS NOT NULL")
 
 
 def filter_urls(

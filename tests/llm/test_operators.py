@@ -80,6 +80,32 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.filter_urls(pages).count() == len(rows)
 
 
+LINKS = [  # page, html, urls that it is joined with
+    ("http://q.io/a/b/p?x=1", '<LINK REL="shortlink Canonical" HREF="../r?k=1&amp;m=2#f">', ["http://q.io/a/r?k=1&m=2"]),
+    ("http://q.io/a/p", "<link rel=canonical href=/x><link href='//o.net/y' rel='canonical'>", ["http://q.io/x", "http://o.net/y"]),
+    ("http://q.io/a/p?n=1", '<link rel="canonical" href="?id=3"><link rel="canonical" href="#"><link rel="canonical" href="">', ["http://q.io/a/p?id=3"]),
+    ("http://q.io/p", '<!-- <link rel="canonical" href="http://b.org/es/"> --><script>"<link rel=canonical href=/s>"</script>', []),
+    ("http://q.io", '<meta http-equiv="Refresh" content="5; URL=\'n/./m/..\'"><meta http-equiv=refresh content="9">', ["http://q.io/n/"]),
+    ("http://q.io/p", '<base href="/deep/er/"><link title="a > b" rel="canonical" href="../up">', ["http://q.io/deep/up"]),
+    ("http://q.io/p", '<link rel="canonical" href="mailto:x@y"><link rel="stylesheet canonicals" href="/c"><link data-rel="canonical" href="/d">', []),
+    ("no scheme", '<link rel="canonical" href="http://b.org/es/">', []), ("http://q.io/p", None, []),
+]
+
+
+def test_page_links(spark):
+    frame = spark.createDataFrame([(u, h) for u, h, _ in LINKS], "url string, html string")
+    got = sorted((r.a, r.b) for r in url_filter.page_links(frame).collect())
+    assert got == sorted((u, b) for u, _, found in LINKS for b in found)
+
+
+def test_longest_rule_by_its_whole_length(spark, monkeypatch):
+    rules = [("block", "a.com", "/"), ("allow", "com", "/long/path")]
+    frame = spark.createDataFrame([("x.a.com", "/long/path/1"), ("a.com", "/lon")], "host string, path string")
+    for limit in (256, 0):
+        monkeypatch.setattr(url_filter, "RULES_IN_PLACE", limit)
+        assert {r.path: r.rule_verdict for r in url_filter.with_rules(frame, rules).collect()} == {"/long/path/1": "allow", "/lon": "block"}
+
+
 def test_many_rules_are_joined(spark, monkeypatch):
     pages = spark.createDataFrame([(1, "http://a.example.com/en/7", ""), (2, "http://x.org/", "")], "page_id long, url string, html string")
     before = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages).collect()}
@@ -119,6 +145,17 @@ def test_mix_odd_rows(spark):
     assert all(r.taken == 0 and r.target == 0 for r in mixing.mix_sources(docs_of(spark, [(1, None, "a"), (2, "", None)])).collect())
 
 
+def test_equal_rows_are_taken_one_by_one(spark):
+    same = [(7, "w " * 50, "a")] * 40 + [(None, "v " * 50, "a")] * 40
+    rows = [*same, *((100 + i, "u " * 40, "b") for i in range(100))]
+    got = mixing.mix_sources(docs_of(spark, rows).repartition(5)).collect()
+    taken = {s: sum(r.taken for r in got if r.source == s) for s in "ab"}
+    target = {r.source: r.target for r in got}
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 50 for s in taken), (taken, target)
+    kept = mixing.mix_sources(docs_of(spark, rows), keep=["doc_id", "text"], copies_name="n").collect()
+    assert sum(r.n * len(r.text.split()) for r in kept) == sum(taken.values())
+
+
 def test_inclusion_follows_probability(spark):
     rows = [(i, "w " * (8 if i % 2 else 6000), "a" if i < 400 else "b") for i in range(800)]
     got = mixing.mix_sources(docs_of(spark, rows)).where("source = 'a'").collect()
@@ -148,6 +185,33 @@ def test_shards(spark):
     assert sharding.shard_by_slots(docs_of(spark, [])).count() == 0
 
 
+def test_repeated_rows_are_spread_over_shards(spark):
+    rows = [(i, "x" * 60, "a") for i in range(2000)] + [(5, "y" * 60, "a")] * 2000
+    got = sharding.shard_by_slots(docs_of(spark, rows), 16).collect()
+    sums = [sum(r.size for r in got if r.shard == s) for s in range(16)]
+    assert max(sums) - min(sums) < 0.02 * sum(sums) / 16
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(16))
+
+
+def test_maps_are_stored_and_taken_up(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    docs = docs_of(spark, [(i, "x" * (i % 90), "a") for i in range(500)])
+    first = sharding.shard_by_slots(docs, 4, map_path=path).collect()
+    assert {r.map_version for r in first} == {1}
+    again = sharding.shard_by_slots(docs, 4, map_path=path).collect()
+    assert {r.map_version for r in again} == {2} and {(r.doc_id, r.vslot) for r in again} == {(r.doc_id, r.vslot) for r in first}
+    stored = sharding.SlotMap.load(spark, path)
+    assert len(stored.shards) == 3 and stored.n_shards == 4
+    stored.move(7, 3)
+    stored.save(spark, path)
+    stored.grow()
+    stored.save(spark, path)
+    last = sharding.SlotMap.load(spark, path)
+    assert (last.n_shards, last.shards[3][7], len(last.shards)) == (5, 3, 5) and last.shards == stored.shards
+    with pytest.raises(ValueError):
+        sharding.shard_by_slots(docs, 4, map_path=path)
+
+
 def test_growing_moves_into_the_new_shard_alone():
     m = sharding.SlotMap(16)
     v = m.grow()
@@ -368,7 +432,7 @@ def test_one_of_each_group_misses_no_pair(spark, monkeypatch, block):
 # ---- 7 decontamination --------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
+@pytest.mark.parametrize("limit", [200_000, 120])
 def test_contained_items(spark, limit):
     rng = random.Random(11)
     word = lambda: f"w{rng.randrange(500)}"
@@ -400,9 +464,9 @@ def test_contained_items(spark, limit):
                 if shared / len(own) >= 0.8:
                     want.add((i, k, shared))
     docs, bench = docs_of(spark, rows), spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, shared string")
-    got = decontaminate.contaminated(docs, bench, broadcast_shingles=limit).collect()
+    got = decontaminate.contaminated(docs, bench, block_shingles=limit).collect()
     assert {(r.doc_id, r.item_id, r.shared) for r in got} == want and len(got) == len(want) > 10
-    left = decontaminate.without_items(docs, bench, broadcast_shingles=limit)
+    left = decontaminate.without_items(docs, bench, block_shingles=limit)
     assert sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(str(i) for i, _, _ in rows if i not in {w[0] for w in want})
     assert left.columns == docs.columns
     assert decontaminate.contaminated(docs.where("false"), bench).count() == decontaminate.contaminated(docs, bench.where("false")).count() == 0
@@ -537,6 +601,13 @@ def test_quality(spark):
     assert set(model.accuracies) == {name for name, _, _ in quality.LABELLERS} and all(0.5 < a < 1 for a in model.accuracies.values())
 
 
+def test_repeated_rows_give_the_same_model(spark):
+    rows, _ = quality_corpus(80)
+    docs = docs_of(spark, rows * 3)
+    a, b = (quality.fit(d, sample=50) for d in (docs, docs.repartition(7)))
+    assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
+
+
 def test_accuracies_are_recovered():
     rng = random.Random(13)
     n = len(quality.LABELLERS)
@@ -578,9 +649,27 @@ def test_toxicity(spark):
     assert toxicity.classify(docs.where("false"), known).count() == 0
 
 
+def test_no_evidence_is_not_toxic(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    docs = docs_of(spark, [(1, "", "a"), (2, "", "a")])
+    assert not any(r.toxic for r in toxicity.classify(docs, labels).collect())
+    clash = docs.selectExpr("doc_id", "text", "true AS toxic", "0.5 AS P_toxic")
+    got = toxicity.classify(clash, labels)
+    assert all(r.toxic and r.P_toxic == 0.5 and not r.toxic_ for r in got.collect())
+
+
+def test_held_out_errors_are_told(spark):
+    rng = random.Random(15)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(30)) + (" scum idiot" if i % 3 == 0 else ""), "a") for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    assert toxicity.fit(docs_of(spark, rows), labels).held_out_errors <= 0.02
+    noise = spark.createDataFrame([(i, rng.randrange(2)) for i in range(150)], "doc_id long, toxic int")
+    assert toxicity.fit(docs_of(spark, rows), noise).held_out_errors > 0.3
+
+
 def test_later_models_see_earlier_probabilities():
     features = [np.array([1 + (i + 1) % 2]) for i in range(40)]
-    chain = toxicity.fit_chain(features, [np.ones(1, int)] * 40, np.array([i % 2 for i in range(40)]), np.arange(40) % toxicity.FOLDS)
+    chain = toxicity.fit_chain(features, [np.ones(1, int)] * 40, np.array([i % 2 for i in range(40)]), np.arange(40) % toxicity.FOLDS, [np.array([1, 2])] * 6, [np.array([2])] * 6)
     assert [len(m[2]) for m in chain.models] == [0, 1, 2]
 
 
