@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import grading
 from .functions import text as T
-from .operators import evaluation, ranking, rerank, retrieval
+from .operators import evaluation, ranking, reports, rerank, retrieval
 from .plans import config, datasets, runs
 from .sources import files
 from .streaming import episodes, telemetry
@@ -357,7 +357,14 @@ def split_windows(s, d):
     return chunks(s, d).select("chunk_id", "source", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query(None)
+_SNIP = r"""SELECT doc_id, pos - 1 AS pos, md5(w) AS digest FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (
+  SELECT doc_id, CASE WHEN t = '' THEN [] WHEN length(t) <= 140 THEN [t] ELSE list_concat(
+    list_filter(list_transform(regexp_extract_all(t, '[^。！？!?；;\n]*[。！？!?；;]|[^。！？!?；;\n]+'), lambda x: {strip_x}), lambda x: x <> '' AND length(x) <= 140),
+    list_filter(list_transform(range(0, length(t), 70), lambda i: {strip_i}), lambda x: x <> '')) END AS w
+  FROM (SELECT doc_id, {strip_t} AS t FROM documents)))"""
+
+
+@query(_SNIP.format(strip_x=_STRIP.format("x"), strip_i=_STRIP.format("substr(t, i + 1, 140)"), strip_t=_STRIP.format("text")))
 def snippet_windows(s, d):
     cut = table(s, d, "documents").select("doc_id", F.posexplode(T.snippet_windows("text", 140)).alias("pos", "w"))
     return cut.select("doc_id", "pos", F.md5(F.col("w").cast("binary")).alias("digest"))
@@ -568,7 +575,17 @@ def option_mapping(s, d):
     return evaluation.map_options(pairs, ["query_id"], "options").withColumn("similarity", F.round("similarity", 6))
 
 
-@query(None)
+@query(
+    """WITH r AS (SELECT l_orderkey AS g, l_orderkey * 10 + l_linenumber AS o, l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, (l_returnflag = 'R')::INT::DOUBLE AS y FROM lineitem),
+f AS (SELECT g, (row_number() OVER (ORDER BY min(o), g) - 1) % least(3, count(*) OVER ()) AS fold FROM r GROUP BY g),
+w AS (SELECT r.*, fold, CASE WHEN y > 0 AND sum(y) OVER p < count(*) OVER p THEN least(25, (count(*) OVER p - sum(y) OVER p) / sum(y) OVER p) ELSE 1 END / count(*) OVER p AS w FROM r JOIN f USING (g) WINDOW p AS (PARTITION BY g)),
+k AS (SELECT DISTINCT fold FROM f),
+m AS (SELECT k.fold, sum(w) AS n, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * y) / sum(w) AS my, sum(w * a * a) / sum(w) AS aa, sum(w * b * b) / sum(w) AS bb, sum(w * a * b) / sum(w) AS ab, sum(w * a * y) / sum(w) AS ay, sum(w * b * y) / sum(w) AS "by" FROM k JOIN w ON w.fold <> k.fold GROUP BY k.fold),
+z AS (SELECT fold, ma, mb, my, sqrt(aa - ma * ma) AS sa, sqrt(bb - mb * mb) AS sb, ab - ma * mb AS cab, ay - ma * my AS cay, "by" - mb * my AS cby FROM m),
+s AS (SELECT *, cab / sa / sb AS c, cay / sa AS ta, cby / sb AS tb FROM z),
+x AS (SELECT *, (2 * ta - c * tb) / (4 - c * c) AS wa, (2 * tb - c * ta) / (4 - c * c) AS wb FROM s)
+SELECT w.fold::INT AS fold, count(*) AS n, round(avg(my + wa * (a - ma) / sa + wb * (b - mb) / sb), 6) AS mean_prediction, round(avg(y), 6) AS mean_label FROM w JOIN x USING (fold) GROUP BY 1"""
+)
 def ridge_cross_validation(s, d):
     rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
     rows = rows.withColumn("ord", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
@@ -798,7 +815,21 @@ def turn_actions(s, d):
     return messages(s, d).where("role = 'assistant'").select("conv_id", "turn", T.search_tag("text").alias("search"), T.boxed("text").isNotNull().alias("boxed"))
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {MSG_SQL}, t AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, regexp_matches(text, '(?s)\\\\boxed\\s*\\{{[^{{}}]*\\}}') AS boxed, regexp_matches(text, '(?is)<search>\\s*(.*?)\\s*</search>') AS searching,
+    (conv_id % 2)::DOUBLE AS r, (length(text) % 10) / 10.0::DOUBLE AS found, conv_id % 3 = 0 AS shaped FROM msg WHERE role = 'assistant'),
+st(conv_id, turn, rn, action, reward, searches, must, corrected, evidence, ended) AS (
+  SELECT DISTINCT conv_id, NULL::BIGINT, 0::BIGINT, '', 0::DOUBLE, 0, false, false, 0::DOUBLE, false FROM t
+  UNION ALL
+  SELECT t.conv_id, t.turn, t.rn, n.action,
+    CASE n.action WHEN 'answer' THEN CASE WHEN shaped AND r >= 0 THEN least(1, r + 0.1 * evidence) ELSE r END WHEN 'format_error' THEN -0.5 ELSE 0 END::DOUBLE,
+    searches + (n.action = 'search')::INT, CASE n.action WHEN 'search' THEN searches + 1 >= 2 WHEN 'correction' THEN true ELSE must END, corrected OR n.action = 'correction',
+    CASE WHEN n.action = 'search' AND shaped THEN greatest(evidence, found) ELSE evidence END, n.action IN ('answer', 'format_error')
+  FROM st JOIN t ON t.conv_id = st.conv_id AND t.rn = st.rn + 1, LATERAL (SELECT CASE WHEN t.boxed THEN 'answer' WHEN t.searching AND NOT st.must AND st.searches < 2 THEN 'search' WHEN st.corrected THEN 'format_error' ELSE 'correction' END AS action) n
+  WHERE NOT st.ended)
+SELECT conv_id, turn, action, round(reward, 6) AS reward, ended, searches, must AS must_answer, round(evidence, 6) AS evidence FROM st WHERE rn > 0"""
+)
 def episode_outcomes(s, d):
     turns = episodes.classify_turns(messages(s, d).where("role = 'assistant'")).selectExpr("conv_id", "turn", "boxed", "searching", "CAST(conv_id % 2 AS double) AS reward", "(length(text) % 10) / 10.0D AS found", "conv_id % 3 = 0 AS shaped")
     return episodes.run_batch(turns, 2, 0.1).withColumn("reward", F.round("reward", 6)).withColumn("evidence", F.round("evidence", 6))
@@ -849,9 +880,10 @@ def config_rules(s, d):
     return config.violations(table(s, d, "part").select(F.col("p_partkey").alias("name"), conf.alias("conf")))
 
 
-@query("SELECT event_id, 'k' AS path, regexp_extract(props, '(\\d+)', 1) AS value FROM events UNION ALL SELECT event_id, 'a.b', event_type FROM events")
+@query("SELECT event_id, 'k' AS path, regexp_extract(props, '(\\d+)', 1) AS value FROM events UNION ALL SELECT event_id, 'a.b', event_type FROM events UNION ALL SELECT event_id, 'a.l[0]', event_id::VARCHAR FROM events UNION ALL SELECT event_id, 'a.l[1].x.y', 'null' FROM events UNION ALL SELECT event_id, 'a.l[1].z', 'true' FROM events")
 def flatten_json(s, d):
-    json = F.concat(F.left("props", F.length("props") - 1), F.lit(', "a": {"b": "'), "event_type", F.lit('"}}'))
+    parts = (F.lit(', "a": {"b": "'), "event_type", F.lit('", "l": ['), F.col("event_id").cast("string"), F.lit(', {"x": {"y": null}, "z": true, "none": {}}, []]}}'))
+    json = F.concat(F.left("props", F.length("props") - 1), *parts)
     return table(s, d, "events").select("event_id", F.explode(config.flatten_json(json)).alias("path", "value"))
 
 
@@ -872,3 +904,194 @@ _NESTED = "'so ' || chr(92) || 'boxed{' || lower(split_part(text, ' ', 1)) || '_
 @query(r"SELECT item_id, regexp_extract(c, '\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}', 1) AS box FROM (SELECT item_id, " + _NESTED + " AS c FROM benchmark)")
 def nested_boxes(s, d):
     return table(s, d, "benchmark").selectExpr("item_id", f"{_NESTED} AS c").select("item_id", T.boxed("c").alias("box"))
+
+
+# ---- small text operators, many of a table's row at once -------------------------
+
+_CELL = {
+    "p_partkey": "p_partkey", "raw": "CASE p_partkey % 3 WHEN 0 THEN 'so #### 1,' || p_size || '00' WHEN 1 THEN '  ' || p_name || ' ' ELSE '#### -' || p_size || '.5' END", "context": "CASE p_partkey % 2 WHEN 0 THEN p_name ELSE '' END",
+    "points": "p_name || '| ｜' || p_brand || '|x|y|z|v'", "file": "CASE p_partkey % 3 WHEN 0 THEN '20260611160325_' || p_name || '.xlsx' WHEN 1 THEN p_name || '.xls' ELSE p_name || '.xlsx.bak' END", "label": "'<' || p_name || '>'",
+    "role": "CASE p_partkey % 4 WHEN 0 THEN 'Manual ' || p_name WHEN 1 THEN p_name || '参考答案' ELSE p_name || '-x' END", "exp": "'grpo_m' || p_size || '_d' || p_partkey % 7 || CASE p_partkey % 3 WHEN 0 THEN '' ELSE '_t_' || p_brand END",
+}
+
+
+@query(
+    rf"""WITH c AS ({_select(_CELL, 'part')}) SELECT p_partkey, CASE WHEN contains(raw, '####') THEN replace(regexp_extract(raw, '####\s*(-?[\d,.]+)', 1), ',', '') ELSE trim(raw) END AS number, CASE WHEN context <> '' THEN label || chr(10) || chr(10) || context ELSE label END AS prompt,
+  array_to_string(list_slice(list_filter(list_transform(string_split_regex(points, '[|｜]'), lambda x: trim(x)), lambda x: x <> ''), 1, 5), '|') AS points, regexp_replace(CASE WHEN starts_with(file, '20260611160325_') THEN substr(file, 16) ELSE file END, '\.xlsx?$', '') AS title,
+  replace(replace(label, '<', '＜'), '>', '＞') AS safe, p_partkey % 4 < 2 OR regexp_matches(role, '(?i)manual|solution|answer|training') AS answer_role,
+  string_split(exp, '_')[1] AS method, string_split(exp, '_')[3] AS dataset, CASE WHEN p_partkey % 3 <> 0 THEN array_to_string(string_split(exp, '_')[4:], '_') END AS tag FROM c"""
+)
+def cell_texts(s, d):
+    c = table(s, d, "part").selectExpr(*(f"{e} AS {n}" for n, e in _CELL.items()))
+    parts = T.experiment_parts("exp")
+    return c.select(
+        "p_partkey", T.number_answer("raw").alias("number"), T.prompt("label", "context").alias("prompt"), T.knowledge_points("points").alias("points"), T.source_title("file").alias("title"), T.safe_label("label").alias("safe"),
+        T.has_answer_role("role").alias("answer_role"), parts["method"].alias("method"), parts["dataset"].alias("dataset"), parts["tag"].alias("tag"),
+    )
+
+
+_PATHS = "CASE o_orderkey % 5 WHEN 0 THEN 'docs/' || o_orderkey || '.md' WHEN 1 THEN 'a' || chr(92) || 'b.PDF' WHEN 2 THEN 'scripts/run.sh' WHEN 3 THEN 'lab' ELSE 'src/x.py' END"
+
+
+@query(
+    rf"""SELECT o_orderkey, NOT (o_orderkey % 5 IN (0, 1)) AS uploaded, o_orderkey % 5 IN (2, 3) AS unix, CASE WHEN n < 1024 THEN printf('%.0f B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS bytes,
+  CASE WHEN e < 60 THEN printf('%.1fs', e) WHEN e < 3600 THEN printf('%dm %02ds', floor(e / 60)::INT, (e % 60)::INT) ELSE printf('%dh %02dm', floor(e / 3600)::INT, floor(e % 3600 / 60)::INT) END AS elapsed
+FROM (SELECT o_orderkey, ((2 * o_orderkey + 1) * (2 * o_orderkey + 1) * 37)::DOUBLE AS n, (o_orderkey % 9000)::DOUBLE AS e FROM orders)"""
+)
+def run_texts(s, d):
+    n = ((2 * F.col("o_orderkey") + 1) * (2 * F.col("o_orderkey") + 1) * 37).cast("double")
+    o = table(s, d, "orders").selectExpr("o_orderkey", f"{_PATHS} AS path").withColumn("n", n)
+    return o.select("o_orderkey", runs.uploaded(F.col("path")).alias("uploaded"), runs.needs_unix_lines(F.col("path")).alias("unix"), T.human_bytes("n").alias("bytes"), T.elapsed(F.col("o_orderkey") % 9000).alias("elapsed"))
+
+
+_ONE_LINE = r"regexp_replace({}, '\s+', ' ', 'g')".format
+_CLOSED_QUERY = f"{_MARK} || chr(10) || '题目：' || text || chr(10) || chr(10) || '选项：' || chr(10) || 'A. ' || {_W[1]} || chr(10) || 'B、' || {_W[2]} || '  C) ' || {_W[3]} || ' D: ' || {_W[4]} || ' A. again'"
+
+
+@query(
+    f"""SELECT item_id, 'A=again|B=' || {_ONE_LINE(_W[2])} || '|C=' || {_ONE_LINE(_W[3])} || '|D=' || {_ONE_LINE(_W[4])} AS options, {_STRIP.format('text')} AS question,
+  CASE item_id % 5 WHEN 3 THEN {_COMPACT.format(_W[1])} || ' ' || {_COMPACT.format(_W[3])} || ' 2' WHEN 4 THEN {_COMPACT.format(_W[2])} || ' ' || {_COMPACT.format(_W[4])} ELSE '' END AS supervised FROM benchmark"""
+)
+def closed_options(s, d):
+    rows = table(s, d, "benchmark").selectExpr("item_id", f"{_CLOSED_QUERY} AS query", f"{_EXPECTED} AS expected")
+    shown = F.array_join(F.transform(T.options("query"), lambda o: F.concat(o["letter"], F.lit("="), o["text"])), "|")
+    return rows.select("item_id", shown.alias("options"), T.question_text("query").alias("question"), T.supervised_answer("expected").alias("supervised"))
+
+
+@query(f"""SELECT item_id, left(CASE WHEN w <> '' AND {_COMPACT.format('w')} <> {_COMPACT.format('q')} AND length({_COMPACT.format('w')}) >= 3 THEN w ELSE q END, 160) AS asked FROM (
+  SELECT item_id, q, array_to_string(list_filter(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN list_position(p, p[i]) = i THEN p[i] END), lambda x: x IS NOT NULL), ' ') AS w FROM (
+    SELECT item_id, {_STRIP.format("text")} AS q, list_filter(flatten(list_transform({_TOKENS.format("text")}, lambda t: string_split_regex(t, '[^a-z0-9]+'))), lambda x: length(x) >= 2) AS p FROM benchmark))""")
+def deterministic_query(s, d):
+    return table(s, d, "benchmark").selectExpr("item_id", f"{_QUERY} AS query").select("item_id", T.deterministic_query("query").alias("asked"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN NULL ELSE 0 END::DOUBLE AS score FROM events")
+def judge_scores(s, d):
+    reply = """CASE event_id % 4 WHEN 0 THEN '{"reason": "1 of 2", "score": 0.5}' WHEN 1 THEN 'I give 1.' WHEN 2 THEN 'none' ELSE '0 points' END"""
+    return table(s, d, "events").selectExpr("event_id", f"{reply} AS reply").select("event_id", T.judge_score("reply").alias("score"))
+
+
+@query("""SELECT user_id, event_id, chunk, text, is_end AS "end" FROM (
+  SELECT user_id, event_id, unnest(range(0, len(c) + e)) AS chunk, c, e FROM (SELECT user_id, event_id, list_transform(range(0, length(t), 16), lambda i: substr(t, i + 1, 16)) AS c, (event_id % 10 = 0)::INT AS e FROM (SELECT *, repeat(event_type, 4) AS t FROM events))), LATERAL (SELECT coalesce(c[chunk + 1], '') AS text, chunk >= len(c) AS is_end)""")
+def log_chunks(s, d):
+    rows = table(s, d, "events").select("user_id", "event_id", F.repeat("event_type", 4).alias("t"), (F.col("event_id") % 10 == 0).alias("last"))
+    return telemetry.log_chunks(rows, "user_id", "event_id", "t", "last", 16)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch(ts)::DOUBLE AS t, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS rn FROM events),
+c(user_id, rn, t, value, made, cached) AS (SELECT user_id, rn, t, value, t, value FROM e WHERE rn = 1 UNION ALL
+  SELECT e.user_id, e.rn, e.t, e.value, CASE WHEN e.t - made >= 3600 THEN e.t ELSE made END, CASE WHEN e.t - made >= 3600 THEN e.value ELSE cached END FROM c JOIN e ON e.user_id = c.user_id AND e.rn = c.rn + 1)
+SELECT user_id, round(sum(value), 4) AS found, round(sum(cached), 4) AS cached, count(*) AS n FROM c GROUP BY user_id""")
+def cached_values(s, d):
+    out = telemetry.cached_values(table(s, d, "events").select("user_id", "ts", "value"), "user_id", "ts", "value", 3600.0)
+    return out.groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("found"), F.round(F.sum("cached"), 4).alias("cached"), F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), k AS (SELECT *, user_id % 3 <> 0 AS known FROM r)
+SELECT user_id AS stream, event_id::VARCHAR AS event_id FROM k WHERE (n > 2 OR NOT known) AND (n < 5 OR user_id % 2 = 1)""")
+def resumed_events(s, d):
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = table(s, d, "events").select(F.col("user_id").alias("stream"), F.col("event_id").cast("string").alias("event_id"), n.alias("event_no"))
+    rows = rows.withColumn("event", F.when((F.col("event_no") == 5) & (F.col("stream") % 2 == 0), "end").otherwise("log"))
+    seen = rows.where((F.col("event_no") == 2) & (F.col("stream") % 3 != 0)).select("stream", "event_id")
+    return telemetry.resumed(rows, seen).select("stream", "event_id")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey = (SELECT DISTINCT l_suppkey FROM lineitem ORDER BY l_suppkey DESC OFFSET 1 LIMIT 1)")
+def nth_round(s, d):
+    return ranking.nth_round(table(s, d, "lineitem"), "l_suppkey", -2).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS place FROM orders")
+def numbered(s, d):
+    return ranking.numbered(table(s, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], "place").select("o_orderkey", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT o_custkey AS root, CASE WHEN bool_or(o_orderkey % 11 = 0) THEN o_custkey::VARCHAR ELSE max_by(o_orderkey::VARCHAR, (o_orderdate, -o_orderkey)) FILTER (WHERE o_orderkey % 4 <> 0) END AS run FROM orders GROUP BY 1 HAVING bool_or(o_orderkey % 11 = 0) OR bool_or(o_orderkey % 4 <> 0)")
+def latest_run(s, d):
+    o = table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("root"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("mtime"))
+    listed = o.select("root", F.lpad(F.col("k").cast("string"), 12, "0").alias("run_dir"), "mtime", "k")
+    own = listed.where("k % 4 <> 0").select("root", "run_dir", F.concat(F.lit("step_"), "run_dir").alias("dir"))
+    flat = listed.where("k % 11 = 0").select("root", F.lit(None).cast("string").alias("run_dir"), F.concat(F.lit("step_"), "run_dir").alias("dir"))
+    out = runs.latest_run(listed.select("root", "run_dir", "mtime"), own.unionByName(flat))
+    return out.select(F.col("root").cast("long").alias("root"), F.when(F.length("run") == 12, F.regexp_replace("run", "^0+", "")).otherwise(F.col("run")).alias("run"))
+
+
+@query(
+    f"""WITH {CHUNK_SQL}, {QA_SQL}, {_ITEMS_SQL}, fm AS (SELECT DISTINCT unnest(flatten(items)) AS form FROM items),
+ps AS (SELECT {_COMPACT.format("source || chr(10) || text")} AS c, {_TOKENS.format("source || chr(10) || text")} AS t FROM chunk),
+held AS (SELECT form FROM fm WHERE EXISTS (SELECT 1 FROM ps WHERE CASE WHEN regexp_full_match(form, '[0-9]+') THEN list_contains(t, form) ELSE length(form) >= 2 AND contains(c, form) END)),
+h AS (SELECT list(form) AS hs FROM held)
+SELECT ord AS query_id, kind, round(CASE WHEN len(items) = 0 THEN 0 ELSE len(list_filter(items, lambda i: list_has_any(i, hs)))::DOUBLE / len(items) END, 6) AS coverage FROM items, h"""
+)
+def presence_coverage(s, d):
+    q = reports.questions_of(qa_rows(s, d))
+    forms = q.select(F.explode(F.flatten(T.gold_items("expected_answer"))).alias("form"))
+    present = evaluation.gold_presence(forms, chunks(s, d).select(retrieval.passage().alias("passage")))
+    return reports.presence_coverage(q, present).withColumn("coverage", F.round("coverage", 6))
+
+
+# ---- reports ------------------------------------------------------------------------
+
+_QA_NEAR_SQL = f"""q AS (SELECT ord, kind, query, expected_answer, regexp_replace(lower({_STRIP.format("regexp_extract(query, '(?s)题目：(.*)$', 1)")}), '\\s\\s+', ' ', 'g') AS t,
+  ('0x' || substr(sha1({_COMPACT.format("regexp_extract(query, '(?s)题目：(.*)$', 1)")}), 1, 8))::BIGINT % 5 = 0 AS held FROM qa),
+g AS (SELECT kind, ord, held, gram, count(*) AS tf FROM (SELECT kind, ord, held, unnest({_GRAMS}) AS gram FROM q) GROUP BY ALL),
+n AS (SELECT kind, count(*) AS n FROM q WHERE NOT held GROUP BY kind),
+f AS (SELECT kind, gram, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf FROM g JOIN n USING (kind) WHERE NOT held GROUP BY kind, gram),
+w AS (SELECT kind, ord, held, gram, (1.0 + ln(tf)) * idf AS w FROM g JOIN f USING (kind, gram)),
+sq AS (SELECT ord, sum(round(w * w * 1000000000)::BIGINT) AS sq FROM w GROUP BY ord),
+v AS (SELECT kind, ord, held, gram, w / sqrt(sq / 1000000000.0::DOUBLE) AS w FROM w JOIN sq USING (ord)),
+m AS (SELECT a.ord AS query_id, b.ord AS train_id, sum(round(a.w * b.w * 1000000000)::BIGINT)::DOUBLE / 1000000000 AS sim FROM v a JOIN v b USING (kind, gram) WHERE a.held AND NOT b.held GROUP BY ALL),
+e AS (SELECT a.kind, a.ord AS query_id, b.ord AS train_id, coalesce(sim, 0) AS sim FROM q a JOIN q b ON a.kind = b.kind AND a.held AND NOT b.held LEFT JOIN m ON m.query_id = a.ord AND m.train_id = b.ord),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, train_id) AS rank FROM e QUALIFY rank <= 5)"""
+
+
+@query(
+    f"""WITH {QA_SQL}, {_QA_NEAR_SQL.replace(chr(92) * 2, chr(92))},
+done AS (SELECT near.query_id, near.query_id AS ord, rank AS k, near.kind, a.query, a.expected_answer, chr(92) || 'boxed{{' || replace({_STRIP.format("regexp_extract(b.expected_answer, '(?s)^\\s*\\[\\w+\\]\\s*(.*)$', 1)")}, '|||', ';') || '}}' AS completion FROM near JOIN q a ON a.ord = near.query_id JOIN q b ON b.ord = near.train_id),
+{_GRADE_SQL},
+r AS (SELECT graded.*, sim, {_COMPACT.format("q.expected_answer")} AS akey FROM graded JOIN near ON near.query_id = graded.query_id AND near.rank = k JOIN q ON q.ord = near.train_id),
+vt AS (SELECT query_id, akey, sum(greatest(sim, 0)) AS weight, max_by(reward, k) AS reward FROM r GROUP BY ALL),
+b AS (SELECT query_id, max_by(reward, (weight, akey)) AS vote FROM vt GROUP BY 1),
+p AS (SELECT query_id, kind, max(reward) FILTER (WHERE k = 1) AS top1, max(reward) AS oracle, max(sim) FILTER (WHERE k = 1) AS sim FROM r GROUP BY ALL)
+SELECT kind, count(*) AS samples, round(avg(top1), 6) AS top1_reward, round(avg(vote), 6) AS vote_reward, round(avg(oracle), 6) AS oracle_reward, round(avg(sim), 5) AS mean_similarity FROM p JOIN b USING (query_id) GROUP BY GROUPING SETS ((kind), ())"""
+)
+def memory_report(s, d):
+    out = reports.memory_report(qa_rows(s, d))["by_type"]
+    return out.select("kind", "samples", *(F.round(c, 6).alias(c) for c in ("top1_reward", "vote_reward", "oracle_reward")), F.round("mean_similarity", 5).alias("mean_similarity"))
+
+
+def _closed_rows(s, d):
+    return table(s, d, "benchmark").selectExpr("item_id AS ord", f"{_CLOSED_QUERY} AS query", f"{_EXPECTED} AS expected_answer")
+
+
+@query(None)
+def option_report(s, d):
+    out = reports.option_report(_closed_rows(s, d))
+    return out.select("option_level", "vote_level", "samples", *(F.round(c, 6).alias(c) for c in ("raw_reward", "mapped_reward", "oracle_reward", "gain")), "best")
+
+
+@query(None)
+def weight_grid(s, d):
+    out = reports.weight_grid(index(s, d), qa_rows(s, d), 8, options=reports.Options(candidate_k=10))
+    return out.select("kind", "stage", "count", *(F.round(c, 6).alias(c) for c in ("coverage", "copy_rate", "chars", "gain")))
+
+
+@query(None)
+def retrieval_ab(s, d):
+    out = reports.retrieval_ab(index(s, d), qa_rows(s, d), 8)
+    means = out["funnel"].select(F.concat_ws(":", "kind", "stage").alias("name"), F.col("coverage").alias("value"))
+    return means.unionByName(out["gaps"]).unionByName(out["counters"]).select("name", F.round("value", 6).alias("value"))
+
+
+@query(None)
+def query_expansion_report(s, d):
+    out = reports.expansion_report(index(s, d), qa_rows(s, d), reports.Options(candidate_k=10))
+    return out["means"].select("kind", "stage", "count", *(F.round(c, 6).alias(c) for c in ("coverage", "copy_rate", "chars")))
+
+
+@query(None)
+def cold_start_statistics(s, d):
+    taken, scanned = reports.cold_start(index(s, d), qa_rows(s, d), lambda q: q, 8, 9, 40, 20)
+    out = reports.cold_start_statistics(taken, scanned)
+    return out.select("kind", "scanned", "selected", F.round("mean_evidence", 6).alias("mean_evidence"), F.round("median_evidence", 6).alias("median_evidence"), "full", "three_quarters")

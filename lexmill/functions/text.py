@@ -210,6 +210,41 @@ def memory_payload(c: Column | str) -> Column:
     return strip(F.regexp_replace(expected_body(c), r"\s*\|\|\|\s*", "; "))
 
 
+def supervised_answer(c: Column | str, most: int = 180) -> Column:
+    """An open answer as words to search with: the first form of each item, 48
+    characters of each; '' for closed types."""
+    firsts = F.transform(gold_items(c), lambda forms: F.left(F.get(forms, 0), F.lit(48)))
+    return F.when(expected_type(c).isin("fill", "short"), F.left(F.array_join(firsts, " "), F.lit(max(24, most)))).otherwise("")
+
+
+def options(c: Column | str) -> Column:
+    """The lettered options behind the options mark, as (letter, text), in the
+    order of letters' first places; of repeated letters the last text."""
+    behind = strip(F.regexp_replace(F.regexp_extract(col(c), r"(?s)选项[:：]\s*(.*)", 1), r"(?U)\s+", " "))
+    pieces = F.split(behind, r"\s+(?=[A-Z][.)、:：])")
+    item = r"(?s)^\s*([A-Z])\s*[.)、:：]\s*(.*)$"
+    found = F.transform(F.filter(pieces, lambda p: p.rlike(item)), lambda p: F.struct(F.regexp_extract(p, item, 1).alias("letter"), strip(F.regexp_extract(p, item, 2)).alias("text")))
+    letters_ = F.array_distinct(F.transform(found, lambda o: o["letter"]))
+    last = lambda x: F.element_at(F.filter(found, lambda o: o["letter"] == x), -1)
+    return F.transform(letters_, last)
+
+
+def deterministic_query(c: Column | str) -> Column:
+    """A search query that the prompt alone decides: the second view of its
+    question, or the question; 160 characters."""
+    question = question_text(c)
+    later = F.filter(F.slice(query_variants(question), 2, 8), lambda v: F.length(compact(v)) >= 3)
+    return F.left(strip(F.coalesce(F.get(later, 0), question)), F.lit(160))
+
+
+def judge_score(c: Column | str) -> Column:
+    """The score that a judge's reply tells, from 0 to 1: behind "score", or
+    the first number; null without one."""
+    named, bare = F.regexp_extract(col(c), r'"score"\s*:\s*([01](?:\.\d+)?)', 1), F.regexp_extract(col(c), r"([01](?:\.\d+)?)", 1)
+    found = F.coalesce(F.nullif(named, F.lit("")), F.nullif(bare, F.lit("")))
+    return F.when(found.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), found.cast("double"))))
+
+
 def loose(c: Column | str) -> Column:
     """Without punctuation and white space, in lower case."""
     return F.regexp_replace(F.lower(strip(c)), LOOSE, "")

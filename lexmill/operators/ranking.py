@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     first = Window.partitionBy(*keys).orderBy(*order)
@@ -46,13 +48,12 @@ def cap_with_refill(df: DataFrame, keys: list[str], source: str, order: list, k:
 
 
 def assign_folds(df: DataFrame, identity: str, order: str, folds: int) -> DataFrame:
-    """Folds by the place at which an identity is first seen. Only identities
-    are ordered in one place, not rows."""
-    first = df.groupBy(identity).agg(F.min(order).alias("_first"))
-    place = F.row_number().over(Window.orderBy("_first", identity)) - 1
-    n = F.count("*").over(Window.partitionBy())
-    k = F.when(n < 2, 1).otherwise(F.least(F.greatest(F.lit(2), F.lit(folds)), n))
-    return df.join(first.select(identity, (place % k).cast("int").alias("fold")), identity)
+    """Folds by the place at which an identity is first seen. Identities are
+    ordered by ranges, so that no task sees them all."""
+    placed = numbered(df.groupBy(identity).agg(F.min(order).alias("_first")), ["_first", identity], "_at")
+    n = placed.count()
+    k = 1 if n < 2 else min(max(2, folds), n)
+    return df.join(placed.select(identity, (F.col("_at") % k).cast("int").alias("fold")), identity)
 
 
 def high_low(df: DataFrame, keys: list[str], value: str, order: str, k: int) -> DataFrame:
@@ -133,3 +134,32 @@ def latest(df: DataFrame, keys: list[str], what: str, by: str) -> DataFrame:
 
 def paged(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(max(0, offset)).limit(max(0, limit))
+
+
+def nth_round(df: DataFrame, round_: str, index: int) -> DataFrame:
+    """The rows of one round: by place in the order of rounds, from the last
+    one for negative places. A place that there is not is an error."""
+    rounds = df.select(round_).distinct()
+    n = rounds.count()
+    if not -n <= index < n:
+        raise IndexError(f"there are {n} rounds, none at {index}")
+    up, at = (F.asc, index) if index >= 0 else (F.desc, -index - 1)
+    wanted = rounds.orderBy(up(round_)).offset(at).limit(1)
+    return df.join(F.broadcast(wanted), round_, "left_semi")
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Adds places from 0 in the order of all rows. Rows are dealt by ranges,
+    numbered within them, and shifted by the sizes of the ranges before, so that
+    no task orders more than its range. The ranges are drawn anew whenever they
+    are asked for, so they are stored with the rows."""
+    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt = Scratch(df.sparkSession, "numbered").save(dealt, "dealt")
+    sizes = sorted((r._part, r.n) for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect())  # one row per task
+    starts, total = [], 0
+    for part, n in sizes:
+        starts.append((part, total))
+        total += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "_part int, _start long"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.withColumn("_place", place).join(offsets, "_part").withColumn(out, F.col("_start") + F.col("_place")).drop("_part", "_start", "_place")

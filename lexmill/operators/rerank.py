@@ -96,21 +96,32 @@ def pick_diverse(scores: list[float], texts: list[str], k: int) -> list[int]:
     return chosen
 
 
-def rerank(hits: DataFrame, k: int, weights: tuple[float, ...] = WEIGHTS, keep_baseline: bool = False) -> DataFrame:
+def rerank(hits: DataFrame, k: int, weights: tuple[float, ...] = WEIGHTS, keep_baseline: bool = False, baseline: DataFrame | None = None) -> DataFrame:
     """(query_id, pick, source, text, rerank_score) of hits (query_id, question,
     rank, source, text, score). A pool is a query's candidates, bounded by the
-    search that made it. With ``keep_baseline`` the first hit stays, in front,
-    unless the best candidate fills the question's blank."""
+    search that made it. With ``baseline`` (query_id, source, text: a hit per
+    query) that hit stays, in front, unless it is chosen anyway or the best
+    candidate fills the question's blank; ``keep_baseline`` takes the pool's
+    first hit for it."""
     scored = weighted(features(hits), weights).select("query_id", "rank", "source", "text", "rerank_score", "cloze_bridge")
+    if baseline is not None:
+        first = baseline.select("query_id", F.struct("source", "text").alias("baseline"))
+        scored = scored.join(first, "query_id", "left")
+    else:
+        scored = scored.withColumn("baseline", F.lit(None).cast("struct<source:string,text:string>"))
 
     def choose(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values("rank", kind="stable").reset_index(drop=True)
         order = pick_diverse(pool["rerank_score"].tolist(), pool["text"].tolist(), k)
-        keys = list(zip(pool["source"], pool["text"]))
-        if keep_baseline and keys[0] not in {keys[i] for i in order} and pool["cloze_bridge"][order[0]] <= PROMOTE_BRIDGE:
-            order = [0, *order][: max(1, k)]
         out = pool.loc[order, ["query_id", "source", "text", "rerank_score"]]
-        out.insert(1, "pick", range(1, len(order) + 1))
+        given = pool["baseline"][0]
+        kept = (given["source"], given["text"]) if given is not None else (pool["source"][0], pool["text"][0]) if keep_baseline else None
+        if kept is not None and kept not in set(zip(out["source"], out["text"])) and pool["cloze_bridge"][order[0]] <= PROMOTE_BRIDGE:
+            same = pool[(pool["source"] == kept[0]) & (pool["text"] == kept[1])]
+            score = same["rerank_score"].iloc[0] if len(same) else float("nan")
+            front = pd.DataFrame([(pool["query_id"][0], *kept, score)], columns=out.columns)
+            out = pd.concat([front, out])[: max(1, k)]
+        out.insert(1, "pick", range(1, len(out) + 1))
         return out
 
     kind = hits.schema["query_id"].dataType.simpleString()
@@ -165,9 +176,10 @@ def predict_ridge(rows: DataFrame, model: dict, names: tuple[str, ...], out: str
     return rows.withColumn(out, total)
 
 
-def cross_validate(rows: DataFrame, group: str, order: str, label: str, names: tuple[str, ...], folds: int = 5, l2: float = 1.0) -> DataFrame:
-    """Rows with out-of-fold predictions; whole groups are held out together."""
-    marked = ranking.assign_folds(rows, group, order, folds)
+def cross_validate(rows: DataFrame, group: str, order: str, label: str, names: tuple[str, ...], folds: int = 5, l2: float = 1.0, identity: str | None = None) -> DataFrame:
+    """Rows with out-of-fold predictions; whole groups are held out together,
+    and with ``identity`` all groups that share it."""
+    marked = ranking.assign_folds(rows, identity or group, order, folds)
     numbers = sorted(r.fold for r in marked.select("fold").distinct().collect())  # at most ``folds``
     out = None
     for fold in numbers:

@@ -58,19 +58,31 @@ def frame(spark: SparkSession, configs: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, path string, value string")
 
 
-def flatten_json(json: Column, depth: int = 4) -> Column:
-    """A JSON object's scalar leaves as a map of dotted paths, down to a depth."""
-    schema = "map<string,string>"
-
-    def entries(c: Column, prefix: Column, left: int) -> Column:
-        found = F.map_entries(F.from_json(c, schema))
-        if not left:
-            return F.transform(found, lambda e: F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value")))
-        inner = lambda e: entries(e["value"], F.concat(prefix, e["key"], F.lit(".")), left - 1)
-        leaf = lambda e: F.array(F.struct(F.concat(prefix, e["key"]).alias("key"), e["value"].alias("value")))
-        return F.flatten(F.transform(found, lambda e: F.when(e["value"].startswith("{"), inner(e)).otherwise(leaf(e))))
-
-    return F.map_from_entries(entries(json, F.lit(""), depth - 1))
+def flatten_json(json: Column) -> Column:
+    """A JSON document's scalar leaves as a map of paths (``a.b``, ``c[0]``) to
+    strings, objects and lists at any depth; null is "null". Empty objects and
+    lists have no leaves. Levels are opened one after the other, as many as the
+    document's brackets can nest."""
+    names = "map<string,string>"
+    start = F.struct(F.array(F.struct(F.lit("").alias("key"), json.alias("value"))).alias("open"), F.array().cast("array<struct<key:string,value:string>>").alias("done"))
+    opens = lambda v: F.coalesce(F.substr(F.ltrim(v), F.lit(1), F.lit(1)), F.lit(""))
+
+    def inner(e: Column) -> Column:
+        dot = F.when(e["key"] == "", "").otherwise(F.concat(e["key"], F.lit(".")))
+        fields = F.transform(F.map_entries(F.from_json(e["value"], names)), lambda x: F.struct(F.concat(dot, x["key"]).alias("key"), x["value"].alias("value")))
+        items = F.transform(F.from_json(e["value"], "array<string>"), lambda x, k: F.struct(F.concat(e["key"], F.lit("["), k.cast("string"), F.lit("]")).alias("key"), x.alias("value")))
+        return F.when(opens(e["value"]) == "{", fields).otherwise(items)
+
+    nested = lambda e: opens(e["value"]).isin("{", "[")
+    leaf = lambda e: F.struct(e["key"].alias("key"), F.coalesce(e["value"], F.lit("null")).alias("value"))
+
+    def level(s: Column, _: Column) -> Column:
+        more = F.flatten(F.transform(F.filter(s["open"], nested), inner))
+        return F.struct(more.alias("open"), F.concat(s["done"], F.transform(F.filter(s["open"], lambda e: ~nested(e)), leaf)).alias("done"))
+
+    depth = F.regexp_count(json, F.lit(r"[\[{]")) + 1
+    done = F.aggregate(F.sequence(F.lit(1), depth), start, level, lambda s: s["done"])
+    return F.map_from_entries(F.when(json.isNotNull(), done))
 
 
 def layered(rows: DataFrame, priority: str, keys: list[str], path: str = "path", value: str = "value") -> DataFrame:

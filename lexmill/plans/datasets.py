@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grading
@@ -49,13 +49,14 @@ def prepare_qa(train: DataFrame, shorts: DataFrame | None, fields: list[str] = [
 
 def positional_split(rows: DataFrame, order: str, val_size: int) -> DataFrame:
     """Adds split: the first rows, a tenth at most, are validation. Rows with
-    an empty side leave after the split. Places come from counts per order
-    value's range, so that no single task sees all rows."""
+    an empty side leave after the split. The bound is the order value of the last
+    validation row, which a distributed top-k finds; rows that share it with
+    others beyond the bound are told apart by nothing, so order has to be unique."""
     n = rows.count()
     bound = min(val_size, n // 10)
-    first = rows.select(F.col(order).alias("_o")).orderBy("_o").limit(bound).withColumn("_v", F.lit(True))
-    marked = rows.join(first, F.col(order) == F.col("_o"), "left").drop("_o")
-    return marked.withColumn("split", F.when(F.col("_v"), "val").otherwise("train")).drop("_v").where("coalesce(input, '') <> '' AND coalesce(output, '') <> ''")
+    last = rows.select(order).orderBy(order).limit(bound).agg(F.max(order)).first()[0] if bound else None
+    side = F.when(F.col(order) <= F.lit(last), "val").otherwise("train") if last is not None else F.lit("train")
+    return rows.withColumn("split", side).where("coalesce(input, '') <> '' AND coalesce(output, '') <> ''")
 
 
 def question_key(query: Column | str) -> Column:
@@ -151,28 +152,39 @@ def valid_letters(options: Column) -> Column:
 
 def bank_questions(rows: DataFrame) -> DataFrame:
     """Adds question, answer, options and issue (null if sound) to rows of a
-    choice or judgement sheet: qtype, raw_question, raw_answer, raw_options."""
+    sheet: qtype, raw_question, raw_answer, raw_options. Blanks and keywords,
+    which are options, are the answers of their types."""
+    q = F.col("qtype")
     single, multiple = T.choice_answer("raw_answer", True), T.choice_answer("raw_answer")
-    answer = F.when(F.col("qtype") == "单选题", single).when(F.col("qtype") == "多选题", multiple).when(F.col("qtype") == "判断题", T.judge_answer("raw_answer")).otherwise(F.nullif(T.clean_cell("raw_answer"), F.lit("")))
-    out = rows.withColumns({"question": T.clean_cell("raw_question"), "options": F.transform("raw_options", T.clean_cell), "answer": answer})
+    listed = F.nullif(F.array_join(F.filter("options", lambda o: o != ""), "|"), F.lit(""))
+    out = rows.withColumns({"question": T.clean_cell("raw_question"), "options": F.transform("raw_options", T.clean_cell)})
+    out = out.withColumn("answer", F.when(q == "单选题", single).when(q == "多选题", multiple).when(q == "判断题", T.judge_answer("raw_answer")).otherwise(listed))
     out = out.where((F.col("question") != "") & ~is_example(F.col("question")))
     valid = valid_letters(F.col("options"))
     strange = F.size(F.array_except(F.filter(F.split("answer", ""), lambda x: x != ""), valid)) > 0
-    choice = F.col("qtype").isin("单选题", "多选题")
-    mixed = (F.col("qtype") == "判断题") & F.exists("options", lambda o: o != "") & ~F.exists("options", lambda o: T.judge_answer(o).isNotNull())
-    issue = F.when(F.col("answer").isNull(), F.when(F.col("qtype") == "简答题", "missing_keywords").otherwise("missing_answer")).when(choice & (F.size(valid) > 0) & strange, "answer_out_of_range").when(mixed, "looks_like_mixed_choice")
+    mixed = (q == "判断题") & F.col("question").rlike(r"[A-L][\.、．)]")
+    missing = F.when(q == "简答题", "missing_keywords").otherwise("missing_answer")
+    issue = F.when(mixed, "looks_like_mixed_choice").when(F.col("answer").isNull(), missing).when(q.isin("单选题", "多选题") & (F.size(valid) > 0) & strange, "answer_out_of_range")
     return out.withColumn("issue", issue)
 
 
+def once(sound: DataFrame, order: str) -> DataFrame:
+    """Each question once, by type, text, options and answer."""
+    keyed = sound.withColumn("_options", F.array_join("options", "|"))
+    return ranking.keep_first(keyed, ["qtype", "question", "_options", "answer"], [order]).drop("_options")
+
+
+def numbered(questions: DataFrame, order: str) -> DataFrame:
+    """Adds number, from 1 in each type."""
+    return questions.withColumn("number", F.row_number().over(Window.partitionBy("qtype").orderBy(order)))
+
+
 def standardize_bank(rows: DataFrame, order: str = "ord") -> tuple[DataFrame, DataFrame]:
-    """(questions, issues): sound questions, each once by type, text, options
-    and answer, numbered per type; and the reasons of the others."""
+    """(questions, issues): sound questions, each once, numbered per type; and
+    the reasons of the others."""
     marked = bank_questions(rows)
-    sound = marked.where("issue IS NULL").withColumn("_options", F.array_join("options", "|"))
-    once = ranking.keep_first(sound, ["qtype", "question", "_options", "answer"], [order]).drop("_options")
-    numbered = ranking.top_per_group(once, ["qtype"], [order], 1 << 30, "number")
     issues = marked.where("issue IS NOT NULL").select("qtype", order, "issue", F.concat_ws(":", "qtype", F.concat(F.lit("row"), F.col(order)), "issue").alias("line"))
-    return numbered, issues
+    return numbered(once(marked.where("issue IS NULL"), order), order), issues
 
 
 def reject_reasons(issues: DataFrame, strict: bool = False) -> DataFrame:
@@ -180,12 +192,3 @@ def reject_reasons(issues: DataFrame, strict: bool = False) -> DataFrame:
     the reason, as lines have it after their first colon."""
     reason = F.regexp_extract("line", r"^[^:]*:(.*)$", 1) if strict else F.col("issue")
     return issues.groupBy(reason.alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
-
-
-def question_markdown(kind: Column, question: Column, options: Column, answer: Column, explanation: Column) -> Column:
-    lines = F.transform(F.filter(F.transform(options, lambda o, k: F.when(o != "", F.concat(F.char(F.lit(65) + k), F.lit(". "), o))), lambda x: x.isNotNull()), lambda x: x)
-    body = F.concat(
-        F.array(F.concat(F.lit("## "), question), F.concat(F.lit("- 题型："), kind)), lines, F.array(F.concat(F.lit("- 答案："), answer)),
-        F.when(F.coalesce(explanation, F.lit("")) != "", F.array(F.concat(F.lit("- 解析："), explanation))).otherwise(F.array().cast("array<string>")),
-    )
-    return F.array_join(body, "\n")

@@ -11,8 +11,10 @@ EXCLUDED_FILES = r"(?i)\.pdf$"
 UNIX_FILES = r"(^|/)lab$|\.(sh|conf)$"
 
 
-def list_runs(ledger: DataFrame, contains: str = "", limit: int = 20) -> DataFrame:
-    """The latest runs of experiments whose name contains a text."""
+def list_runs(ledger: DataFrame, contains: str = "", limit: int = 20, run_id: str | int | None = None) -> DataFrame:
+    """The latest runs of experiments whose name contains a text; with
+    ``run_id``, that run."""
+    ledger = ledger if run_id is None else ledger.where(F.col("run_id") == run_id)
     return ledger.where(F.contains("exp", F.lit(contains))).orderBy(F.desc("submitted_at"), F.desc("run_id")).limit(limit)
 
 
@@ -36,16 +38,26 @@ def backend(files: DataFrame, root: str = "root", name: str = "entry") -> DataFr
 
 
 def latest_run(runs: DataFrame, checkpoints: DataFrame, root: str = "root", name: str = "run_dir", mtime: str = "mtime") -> DataFrame:
-    """Per root the newest run that has a checkpoint; the first of equals."""
-    held = runs.join(steps(checkpoints).select(root, name).distinct(), [root, name], "left_semi")
+    """Per root the newest run that has a checkpoint, the first of equals; a
+    root that holds checkpoints itself, as older ones do, is its own run.
+    ``checkpoints``: folders, with the run that they are in or null."""
+    found = steps(checkpoints)
+    flat = found.where(F.col(name).isNull()).select(root).distinct()
+    held = runs.join(found.select(root, name).distinct(), [root, name], "left_semi").join(flat, root, "left_anti")
     order = Window.partitionBy(root).orderBy(F.desc(mtime), name)
-    return held.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    best = held.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select(root, F.col(name).alias("run"))
+    return best.unionByName(flat.select(root, F.col(root).alias("run")))
 
 
-def alive(actors: DataFrame, job: str = "job_id") -> DataFrame:
-    """(job_id, node_ids, pids) of actors that are neither dead nor restarting."""
+def alive(actors: DataFrame, job: str = "job_id", jobs: DataFrame | None = None, here: str | None = None) -> DataFrame:
+    """(job_id, node_ids, pids) of actors that are neither dead nor
+    restarting. With ``jobs`` every job has a row, one without such actors on the
+    node ``here``, without processes that are known."""
     up = actors.where(~F.col("state").isin("DEAD", "RESTARTING"))
-    return up.groupBy(job).agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"), F.array_sort(F.collect_set("pid")).alias("pids"))
+    found = up.groupBy(job).agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"), F.array_sort(F.collect_set("pid")).alias("pids"))
+    if jobs is None:
+        return found
+    return jobs.select(job).distinct().join(found, job, "left").withColumn("node_ids", F.coalesce("node_ids", F.array(F.lit(here))))
 
 
 def owns_gpu(job_pids: Column, gpu_pids: Column, memory: Column, least_memory: float) -> Column:

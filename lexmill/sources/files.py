@@ -124,33 +124,20 @@ def safe_name(title: Column) -> Column:
     return F.left(T.strip(F.regexp_replace(title, r'[\\/:*?"<>|\s]+', "_")), F.lit(120))
 
 
-def corpus_rows(questions: DataFrame) -> DataFrame:
-    """Questions as rows for a retrieval corpus: source_title, rag_text, and
-    twelve option columns."""
-    options = {f"option_{chr(65 + k)}": F.coalesce(F.get("options", k), F.lit("")) for k in range(12)}
-    return questions.withColumns(options)
-
-
-def write_corpus(questions: DataFrame, path: str) -> None:
-    """JSON lines, flat CSV with a byte order mark left to the reader, and a
-    text file per source."""
-    rows = corpus_rows(questions)
-    write_jsonl(rows.drop(*(c for c in rows.columns if c.startswith("option_"))), f"{path}/jsonl")
-    rows.drop("options").write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(f"{path}/csv")
-    rows.select(safe_name(F.col("source_title")).alias("source_title"), F.col("rag_text").alias("value")).write.mode("overwrite").partitionBy("source_title").text(f"{path}/md")
-
-
-def write_merged(questions: DataFrame, path: str) -> None:
-    """Numbered questions as CSV, a folder per type."""
-    questions.withColumn("options", F.array_join("options", "|")).write.mode("overwrite").partitionBy("qtype").option("header", "true").csv(path)
-
-
-def report(questions: DataFrame, issues: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "by_type": questions.groupBy("qtype").agg(F.count("*").alias("n")),
-        "reasons": issues.groupBy("issue").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "issue"),
-        "files": files.groupBy("status").agg(F.count("*").alias("n")),
-    }
+def read_synonyms(spark: SparkSession, path: str) -> DataFrame:
+    """(group_id, word) of a JSON file with groups of words that mean the same:
+    words in loose form, empty ones left out, groups in order."""
+    groups = spark.read.schema("groups array<array<string>>").option("multiLine", "true").json(path)
+    words = groups.select(F.posexplode("groups").alias("group_id", "words")).select("group_id", F.explode("words").alias("word"))
+    return words.select("group_id", T.loose("word").alias("word")).where("word != ''").distinct()
+
+
+def synonym_groups(table: DataFrame) -> list[list[str]]:
+    """The same as lists, for expressions: a table of synonyms is small."""
+    rows = table.groupBy("group_id").agg(F.array_sort(F.collect_set("word")).alias("words")).orderBy("group_id").limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("more than 10,000 groups of synonyms do not belong in an expression; join the table instead")
+    return [r.words for r in rows]
 
 
 def grid_rows(cells: DataFrame, loader: Callable | None = None) -> DataFrame:

@@ -77,19 +77,26 @@ def run_batch(turns: DataFrame, max_searches: int = MAX_SEARCHES, scale: float =
     return turns.groupBy("conv_id").applyInPandas(play, OUT)
 
 
-def run_stream(turns: DataFrame, max_searches: int = MAX_SEARCHES, scale: float = 0.0) -> DataFrame:
+def run_stream(turns: DataFrame, max_searches: int = MAX_SEARCHES, scale: float = 0.0, idle: str = "1 hour") -> DataFrame:
     """The same for a stream whose turns come in order; the state of an
-    episode is kept between batches."""
+    episode is kept between batches until it ends, or until no turn has come for
+    ``idle``. Turns that come after an episode's end are left out as long as its
+    mark is kept, which is for ``idle`` too."""
+    wait = int(turns.sparkSession.sql(f"SELECT CAST(INTERVAL {idle} AS INTERVAL SECOND) AS x").first().x.total_seconds() * 1000)
 
     def play(key, groups, store):
+        if store.hasTimedOut:
+            store.remove()
+            return
         s = State(*store.get) if store.exists else State()
         s = State(int(s.searches), bool(s.must_answer), bool(s.corrected), float(s.evidence), bool(s.ended))
         every = pd.concat(list(groups))
         out = pd.DataFrame(list(_play(every, s, max_searches, scale)), columns=COLUMNS)
         store.update((s.searches, s.must_answer, s.corrected, s.evidence, s.ended))
+        store.setTimeoutDuration(wait)
         yield out
 
-    return turns.groupBy("conv_id").applyInPandasWithState(play, OUT, STATE, "append", "NoTimeout")
+    return turns.groupBy("conv_id").applyInPandasWithState(play, OUT, STATE, "append", "ProcessingTimeTimeout")
 
 
 def running_evidence(turns: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.request
 from collections.abc import Callable
 
@@ -120,6 +121,73 @@ def start_sink(stream: DataFrame, send: Callable[[list[dict]], None], dead_lette
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{FLUSH_SECONDS} seconds")).start()
 
 
+def with_retries(send: Callable[[list[dict]], None], attempts: int = 3, wait: Callable[[float], None] = time.sleep, first: float = 1.0) -> Callable[[list[dict]], None]:
+    """A sender that tries again, after waits that double; the last failure is raised."""
+
+    def again(rows: list[dict]) -> None:
+        for k in range(attempts):
+            try:
+                return send(rows)
+            except OSError:
+                if k + 1 == attempts:
+                    raise
+                wait(min(BACKOFF_MAX, first * 2.0**k))
+
+    return again
+
+
+def log_chunks(lines: DataFrame, stream: str, order: str, text: str, ended: str | None = None, size: int = CHUNK_CHARS) -> DataFrame:
+    """(stream, order, chunk, text, end): each log text in pieces, and for rows
+    that end their stream (``ended``) a marker after their last piece."""
+    pieces = F.transform(chunked(F.coalesce(text, F.lit("")), size), lambda x: F.struct(x.alias("text"), F.lit(False).alias("end")))
+    marker = F.array(F.struct(F.lit("").alias("text"), F.lit(True).alias("end")))
+    every = pieces if ended is None else F.concat(pieces, F.when(F.col(ended), marker).otherwise(F.array().cast("array<struct<text:string,end:boolean>>")))
+    return lines.select(stream, order, F.posexplode(every).alias("chunk", "piece")).select(stream, order, "chunk", "piece.text", "piece.end")
+
+
+def resumed(events: DataFrame, seen: DataFrame, stream: str = "stream", order: str = "event_no") -> DataFrame:
+    """The events of a replayed stream that come after the last one seen
+    (``seen``: stream, event_id), up to its end event, which is left out. A stream
+    whose last event id is not in the replay starts anew."""
+    last = seen.select(stream, F.col("event_id").alias("_seen"))
+    found = events.join(last, stream, "left")
+    upto = Window.partitionBy(stream)
+    after = F.max(F.when(F.col("event_id") == F.col("_seen"), F.col(order))).over(upto)
+    end = F.min(F.when((F.col("event") == "end") & (F.col(order) > F.coalesce(F.col("_after"), F.lit(-1))), F.col(order))).over(upto)
+    out = found.withColumn("_after", after).withColumn("_end", end)
+    return out.where((F.col("_after").isNull() | (F.col(order) > F.col("_after"))) & (F.col("_end").isNull() | (F.col(order) < F.col("_end")))).drop("_seen", "_after", "_end")
+
+
+def cached_values(rows: DataFrame, key: str, time_: str, value: str, ttl: float = 60.0) -> DataFrame:
+    """Adds what a cache with a time to live answers at each row's time: the
+    value that was found when the entry was made, which is kept for ``ttl``
+    seconds. Rows of a key are followed in order."""
+    kind = rows.schema[value].dataType.simpleString()
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(time_, F.col(value).alias("found")))).alias("asked"))
+    at = lambda x: x[time_].cast("timestamp").cast("double")
+    start = F.struct(F.lit(None).cast("double").alias("made"), F.lit(None).cast(kind).alias("value"), F.array().cast(f"array<struct<{time_}:{rows.schema[time_].dataType.simpleString()},found:{kind},cached:{kind}>>").alias("out"))
+
+    def follow(s: Column, x: Column) -> Column:
+        fresh = s["made"].isNull() | (at(x) - s["made"] >= ttl)
+        made, now = F.when(fresh, at(x)).otherwise(s["made"]), F.when(fresh, x["found"]).otherwise(s["value"])
+        return F.struct(made.alias("made"), now.alias("value"), F.concat(s["out"], F.array(F.struct(x[time_].alias(time_), x["found"].alias("found"), now.alias("cached")))).alias("out"))
+
+    done = listed.select(key, F.explode(F.aggregate("asked", start, follow, lambda s: s["out"])).alias("x"))
+    return done.select(key, f"x.{time_}", F.col("x.found").alias(value), "x.cached")
+
+
+def node_snapshots(nodes: DataFrame, collect: Callable[[str], dict[str, float]], keys: list[str] = ["node_id"], tasks: int | None = None) -> DataFrame:  # noqa: B006
+    """(keys, metrics) of every node, collected at once: nodes are dealt over
+    the cluster's tasks, and ``collect`` is called for each where its task runs."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(metrics=[{k: float(v) for k, v in collect(n).items() if v is not None} for n in batch[keys[0]]])
+
+    dealt = nodes.select(*keys) if tasks is None else nodes.select(*keys).repartition(tasks, *keys)
+    return dealt.mapInPandas(run, dealt.withColumn("metrics", F.lit(None).cast("map<string,double>")).schema)
+
+
 def windowed_rates(events: DataFrame, time: str, key: str, value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums per key and time window; in a stream, late rows up to a bound."""
     rows = events.withWatermark(time, late) if events.isStreaming else events
