@@ -65,12 +65,13 @@ def flatten_json(json: Column) -> Column:
     document's brackets can nest."""
     names = "map<string,string>"
     start = F.struct(F.array(F.struct(F.lit("").alias("key"), json.alias("value"))).alias("open"), F.array().cast("array<struct<key:string,value:string>>").alias("done"))
+    none = F.array().cast("array<struct<key:string,value:string>>")
     opens = lambda v: F.coalesce(F.substr(F.ltrim(v), F.lit(1), F.lit(1)), F.lit(""))
 
     def inner(e: Column) -> Column:
         dot = F.when(e["key"] == "", "").otherwise(F.concat(e["key"], F.lit(".")))
-        fields = F.transform(F.map_entries(F.from_json(e["value"], names)), lambda x: F.struct(F.concat(dot, x["key"]).alias("key"), x["value"].alias("value")))
-        items = F.transform(F.from_json(e["value"], "array<string>"), lambda x, k: F.struct(F.concat(e["key"], F.lit("["), k.cast("string"), F.lit("]")).alias("key"), x.alias("value")))
+        fields = F.transform(F.coalesce(F.map_entries(F.from_json(e["value"], names)), none), lambda x: F.struct(F.concat(dot, x["key"]).alias("key"), x["value"].alias("value")))
+        items = F.transform(F.coalesce(F.from_json(e["value"], "array<string>"), F.array().cast("array<string>")), lambda x, k: F.struct(F.concat(e["key"], F.lit("["), k.cast("string"), F.lit("]")).alias("key"), x.alias("value")))
         return F.when(opens(e["value"]) == "{", fields).otherwise(items)
 
     nested = lambda e: opens(e["value"]).isin("{", "[")
@@ -80,7 +81,7 @@ def flatten_json(json: Column) -> Column:
         more = F.flatten(F.transform(F.filter(s["open"], nested), inner))
         return F.struct(more.alias("open"), F.concat(s["done"], F.transform(F.filter(s["open"], lambda e: ~nested(e)), leaf)).alias("done"))
 
-    depth = F.regexp_count(json, F.lit(r"[\[{]")) + 1
+    depth = F.coalesce(F.regexp_count(json, F.lit(r"[\[{]")), F.lit(0)) + 1
     done = F.aggregate(F.sequence(F.lit(1), depth), start, level, lambda s: s["done"])
     return F.map_from_entries(F.when(json.isNotNull(), done))
 

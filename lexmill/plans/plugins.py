@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import grading
 from ..functions import text as T
 
-REWARDS: dict[str, Callable] = {}
-PROMPTS: dict[str, Callable] = {}
+REWARDS: dict[str, tuple[Callable, bool]] = {}
+PROMPTS: dict[str, tuple[Callable, bool]] = {}
 
 
 def reward(name: str, batched: bool = False) -> Callable[[Callable], Callable]:
@@ -25,8 +25,7 @@ def reward(name: str, batched: bool = False) -> Callable[[Callable], Callable]:
     ``batched``, over lists of strings, returning a list of numbers."""
 
     def add(fn: Callable) -> Callable:
-        REWARDS[name] = fn
-        fn.batched = batched
+        REWARDS[name] = (fn, batched)
         return fn
 
     return add
@@ -42,8 +41,8 @@ def with_reward(rows: DataFrame, name: str, query: str = "query", completion: st
     rewards than it was given rows is an error."""
     if name not in REWARDS:
         raise KeyError(f"there is no reward {name!r}, but {sorted(REWARDS)}")
-    fn = REWARDS[name]
-    if not fn.batched:
+    fn, batched = REWARDS[name]
+    if not batched:
         return rows.withColumn(out, fn(F.col(query), F.col(completion), F.col(expected)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,8 +59,7 @@ def prompt(name: str, per_text: bool = False) -> Callable[[Callable], Callable]:
     """Registers a renderer of prompts, over a column or, with ``per_text``, over one text."""
 
     def add(fn: Callable) -> Callable:
-        PROMPTS[name] = fn
-        fn.per_text = per_text
+        PROMPTS[name] = (fn, per_text)
         return fn
 
     return add
@@ -75,8 +73,8 @@ def as_it_is(query: Column) -> Column:
 def rendered(query: Column, name: str) -> Column:
     if name not in PROMPTS:
         raise KeyError(f"there is no prompt {name!r}, but {sorted(PROMPTS)}")
-    fn = PROMPTS[name]
-    if not fn.per_text:
+    fn, per_text = PROMPTS[name]
+    if not per_text:
         return fn(query)
 
     @F.pandas_udf("string")

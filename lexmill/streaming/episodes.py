@@ -77,12 +77,13 @@ def run_batch(turns: DataFrame, max_searches: int = MAX_SEARCHES, scale: float =
     return turns.groupBy("conv_id").applyInPandas(play, OUT)
 
 
-def run_stream(turns: DataFrame, max_searches: int = MAX_SEARCHES, scale: float = 0.0, idle: str = "1 hour") -> DataFrame:
+def run_stream(turns: DataFrame, max_searches: int = MAX_SEARCHES, scale: float = 0.0, idle: str | None = "1 hour") -> DataFrame:
     """The same for a stream whose turns come in order; the state of an
-    episode is kept between batches until it ends, or until no turn has come for
-    ``idle``. Turns that come after an episode's end are left out as long as its
-    mark is kept, which is for ``idle`` too."""
-    wait = int(turns.sparkSession.sql(f"SELECT CAST(INTERVAL {idle} AS INTERVAL SECOND) AS x").first().x.total_seconds() * 1000)
+    episode, or the mark that it has ended, is kept between batches until no turn
+    has come for ``idle``. Such a stream runs batches without data, to see what
+    has timed out, and so ends by being stopped. Without ``idle`` (None), for
+    streams that end by themselves, nothing is ever dropped."""
+    wait = idle and int(turns.sparkSession.sql(f"SELECT CAST(INTERVAL {idle} AS INTERVAL SECOND) AS x").first().x.total_seconds() * 1000)
 
     def play(key, groups, store):
         if store.hasTimedOut:
@@ -93,10 +94,11 @@ def run_stream(turns: DataFrame, max_searches: int = MAX_SEARCHES, scale: float
         every = pd.concat(list(groups))
         out = pd.DataFrame(list(_play(every, s, max_searches, scale)), columns=COLUMNS)
         store.update((s.searches, s.must_answer, s.corrected, s.evidence, s.ended))
-        store.setTimeoutDuration(wait)
+        if wait:
+            store.setTimeoutDuration(wait)
         yield out
 
-    return turns.groupBy("conv_id").applyInPandasWithState(play, OUT, STATE, "append", "ProcessingTimeTimeout")
+    return turns.groupBy("conv_id").applyInPandasWithState(play, OUT, STATE, "append", "ProcessingTimeTimeout" if wait else "NoTimeout")
 
 
 def running_evidence(turns: DataFrame) -> DataFrame:

@@ -119,8 +119,8 @@ def test_retries_and_fan_out(spark):
 
 def test_flattened_json_of_any_depth(spark):
     deep = {"a": {"b": {"c": {"d": {"e": {"f": 1}}}}}, "l": [1, [2, {"x": None}]], "s": "{no json", "empty": {}, "none": []}
-    frame = spark.createDataFrame([(json.dumps(deep),), (None,)], "j string")
-    got = [r.m for r in frame.select(config.flatten_json(F.col("j")).alias("m")).collect()]
+    frame = spark.createDataFrame([(0, json.dumps(deep)), (1, None)], "i int, j string")
+    got = {r.i: r.m for r in frame.select("i", config.flatten_json(F.col("j")).alias("m")).collect()}
     assert got[1] is None
     assert {k: v for k, v in got[0].items() if k != "s"} == {"a.b.c.d.e.f": "1", "l[0]": "1", "l[1][0]": "2", "l[1][1].x": "null"}
 

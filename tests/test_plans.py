@@ -174,7 +174,7 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = [(c, t, t == 3, t < 3, 1.0, 0.5, True) for c in range(4) for t in range(1, 5)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, boxed boolean, searching boolean, reward double, found double, shaped boolean")
     turns.coalesce(1).write.parquet(str(tmp_path / "turns"))
-    stream = episodes.run_stream(spark.readStream.schema(turns.schema).parquet(str(tmp_path / "turns")), 2, 0.1)
+    stream = episodes.run_stream(spark.readStream.schema(turns.schema).parquet(str(tmp_path / "turns")), 2, 0.1, idle=None)
     q = stream.writeStream.format("memory").queryName("episode_test").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     order = ["conv_id", "turn"]
