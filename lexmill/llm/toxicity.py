@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, small_batches, unused
+from .common import Scratch, broadcast_if_small, map_batches, release, small_batches, unused
 from .license_scan import WORD_BYTES
 
 CATEGORIES = ("toxic", "repeated", "varied")
@@ -204,8 +204,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "y", "fold")), *columns], ["id", "y", "fold", "at", "n"])
 
     kind = sample.schema["id"].dataType.simpleString()
+    n_pos = [sum(n for (f, y), n in sizes.items() if y and f != out) for out in range(FOLDS)]
     counted = scratch.save(map_batches(sample, run, f"id {kind}, y int, fold int, at array<long>, n array<long>"), "features")
-    chosen, lexicon = _chosen_features(scratch.save(counted.select("fold", "y", F.explode("at").alias("feature")).groupBy("fold", "y", "feature").agg(F.count("*").alias("n")), "counts"), sizes)
+    # a feature that any fold may choose is on so many toxic texts; few are, and the others need not be counted
+    least = min([LEAST_TEXTS, *(max(1, n) for n in n_pos)])
+    may = counted.where("y = 1").select(F.explode("at").alias("feature")).groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("feature")
+    may = broadcast_if_small(scratch.save(may, "may"))
+    listed = counted.select("fold", "y", F.explode("at").alias("feature")).join(may, "feature").groupBy("fold", "y", "feature").agg(F.count("*").alias("n"))
+    chosen, lexicon = _chosen_features(scratch.save(listed, "counts"), sizes)
     wanted = np.unique(np.concatenate(chosen))
 
     def only_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +233,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     @F.arrow_udf("array<double>")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.predict(model.rows(texts.to_pylist())).tolist(), pa.list_(pa.float64()))
+        out = pa.array(model.predict(model.rows(texts.to_pylist())).tolist(), pa.list_(pa.float64()))
+        release()
+        return out
 
     p = unused("lexmill_p", docs)
     scored = docs.withColumn(p, score(F.col(f"`{text_col}`")))
