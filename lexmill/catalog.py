@@ -266,7 +266,41 @@ def char_budget(s, d):
     return ranking.char_budget(hits, ["query_id"], ["rank"], "text", 1200).select("query_id", "rank", "text")
 
 
-@query(None)
+_BLANKS = r"regexp_replace({}, '【\s*\d+\s*】|\[\s*\d+\s*\]|_{{2,}}|＿{{2,}}|\(\s*\)|（\s*）', '', 'g')"
+_CUE = r"regexp_matches({}, '(?i)是|为|通过|包括|包含|共有|分别|等于|采用|使用|由.{{0,24}}组成|consists?\s+of|includes?|contains?|there\s+(?:is|are)|\b(?:has|have)\b')"
+_EXAM = r"regexp_matches({}, '(?im)填空题|选择题|判断题|简答题|每题\s*\d*\s*分|^\s*\d+[.、)]')"
+_SENTENCES = r"CASE WHEN len(a) > 0 THEN list_max(list_transform(string_split_regex({t}, '[\n\r。！？!?；;]+'), lambda s: least(1.0, len(list_intersect(a, {tokens})) / len(a)::DOUBLE + CASE WHEN {cue} THEN 0.2 ELSE 0 END))) ELSE 0 END"
+
+
+def _answer_sql(text: str) -> dict[str, str]:
+    """Measures of a text (of a question q with informative terms a)."""
+    cov = f"CASE WHEN len(a) > 0 THEN len(list_intersect(a, {_TOKENS.format(text)}))::DOUBLE / len(a) ELSE 0 END"
+    copied = f"""CASE WHEN length({_COMPACT.format(_BLANKS.format('q'))}) < 6 THEN 0 WHEN {_EXAM.format(text)} AND contains({_COMPACT.format(text)}, {_COMPACT.format(_BLANKS.format('q'))}) THEN 1
+      WHEN {_EXAM.format(text)} AND {cov} >= 0.65 THEN {cov} ELSE 0 END"""
+    return {"cov": cov, "sent": _SENTENCES.format(t=text, tokens=_TOKENS.format("s"), cue=_CUE.format("s")), "cue": f"({_CUE.format(text)})::INT", "copied": copied}
+
+
+_A = _answer_sql("text")
+# no item has a blank marker, so that the cloze signal is 0
+
+
+_FEATURES_SQL = f"""h AS (
+  SELECT hit.query_id, rank, hit.source, chunk.text, b.text AS q, score_e9 / 1e9 AS score, hit.source || chr(10) || chunk.text AS p, {_INFO.format(_BLANKS.format('b.text'))} AS a FROM hit JOIN chunk USING (chunk_id) JOIN benchmark b ON item_id = query_id),
+f AS (SELECT query_id, rank, source, text, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS bm25,
+    CASE WHEN len(a) > 0 THEN len(list_intersect(a, {_TOKENS.format('p')}))::DOUBLE / len(a) ELSE 0 END AS question_coverage,
+    list_filter(list_distinct({_TOKENS.format('q')}), lambda t: NOT list_contains({_STOP}, t) AND (length(t) >= 3 OR regexp_matches(t, '[0-9]'))) AS asked, list_distinct({_TOKENS.format('p')}) AS held, {_TOKENS.format('q')} AS qt,
+    {_A['sent']} AS answer_sentence, {_A['cue']}::DOUBLE AS answer_cue, regexp_matches(source, '(?i)参考答案|答案|answer|solution|manual|training')::INT::DOUBLE AS source_answer_cue, regexp_matches(source, '(?i)试卷|试题|题库|exam|quiz') AS exam, ({_A['copied']})::DOUBLE AS question_copy
+  FROM h WINDOW w AS (PARTITION BY query_id)),
+g AS (SELECT *, CASE WHEN len(asked) > 0 THEN len(list_intersect(asked, held))::DOUBLE / len(asked) ELSE 0 END AS ascii_coverage,
+    least(1.0, len(list_filter(held, lambda t: regexp_matches(t, '[0-9]') AND NOT list_contains(qt, t))) / 2.0)::DOUBLE AS new_numeric_value, (exam AND question_copy >= 0.5)::INT::DOUBLE AS source_exam_copy FROM f)"""
+_RERANK_SQL = "0.35 * bm25 + 0.20 * question_coverage + 0.10 * ascii_coverage + 0.20 * answer_sentence + 0.10 * answer_cue + 0.05 * new_numeric_value + 0.08 * source_answer_cue - 0.10 * source_exam_copy - 0.80 * question_copy"
+
+
+@query(
+    f"""WITH {_HIT5}, {_FEATURES_SQL}
+SELECT query_id, rank, {', '.join(f'round({c}, 6) AS {c}' for c in ('bm25', 'question_coverage', 'ascii_coverage', 'answer_sentence', 'answer_cue', 'new_numeric_value', 'source_answer_cue', 'source_exam_copy', 'question_copy'))}, 0::DOUBLE AS cloze_bridge, 0::DOUBLE AS negative_bridge,
+  round({_RERANK_SQL}, 6) AS rerank_score FROM g"""
+)
 def answer_features(s, d):
     i = index(s, d)
     hits = _hits(s, d, i).join(i.chunks.select("chunk_id", "text"), "chunk_id").join(questions(s, d).withColumnRenamed("query", "question"), "query_id")
@@ -274,7 +308,23 @@ def answer_features(s, d):
     return out.select("query_id", "rank", *(F.round(n, 6).alias(n) for n in rerank.FEATURES), F.round("rerank_score", 6).alias("rerank_score"))
 
 
-@query(None)
+_HIT20 = f"{INDEX_SQL}, {ASK_SQL}, {_score_sql('score', 'ask')}, {_top_sql('hit', 'score', 20, 4)}"
+
+
+def _pick_sql(n: int) -> str:
+    """The n-th diverse choice, after those before."""
+    like = [f"coalesce(len(list_intersect(x.s, p{k}.s))::DOUBLE / nullif(len(list_distinct(list_concat(x.s, p{k}.s))), 0), 0)" for k in range(1, n)]
+    joins = " ".join(f"JOIN p{k} ON p{k}.query_id = x.query_id AND p{k}.rank <> x.rank" for k in range(1, n))
+    penalty = f"greatest({', '.join(like)})" if like else "0"
+    return f"p{n} AS (SELECT x.* FROM pool x {joins} QUALIFY row_number() OVER (PARTITION BY x.query_id ORDER BY x.score - 0.3::DOUBLE * {penalty} DESC, x.rank) = 1)"
+
+
+@query(
+    f"""WITH {_HIT20}, {_FEATURES_SQL}, pool AS (SELECT query_id, rank, source, text, {_RERANK_SQL} AS score, list_distinct({_TOKENS.format('text')}) AS s FROM g), {_pick_sql(1)}, {_pick_sql(2)}, {_pick_sql(3)},
+c AS (SELECT *, 1 AS n FROM p1 UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 3 FROM p3),
+k AS (SELECT pool.*, 0 AS n FROM pool WHERE rank = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.query_id = pool.query_id AND c.source = pool.source AND c.text = pool.text))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n)::INT AS pick, source, round(score, 6) AS rerank_score FROM (SELECT * FROM c UNION ALL SELECT * FROM k) QUALIFY pick <= 3"""
+)
 def rerank_answerable(s, d):
     i = index(s, d)
     hits = retrieval.search(i, questions(s, d), 20, 4).join(i.chunks.select("chunk_id", "text"), "chunk_id").join(questions(s, d).withColumnRenamed("query", "question"), "query_id")
@@ -282,7 +332,18 @@ def rerank_answerable(s, d):
     return picked.select("query_id", "pick", "source", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-@query(None)
+_HIT3 = f"{INDEX_SQL}, {ASK_SQL}, {_score_sql('score', 'ask')}, {_top_sql('hit', 'score', 3)}"
+_CUT = """CASE WHEN t = '' THEN [] WHEN length(t) <= 140 THEN [t] ELSE list_concat(
+    list_filter(list_transform(regexp_extract_all(t, '[^。！？!?；;\n]*[。！？!?；;]|[^。！？!?；;\n]+'), lambda x: {strip_x}), lambda x: x <> '' AND length(x) <= 140),
+    list_filter(list_transform(range(0, length(t), 70), lambda i: {strip_i}), lambda x: x <> '')) END""".format(strip_x=_STRIP.format("x"), strip_i=_STRIP.format("substr(t, i + 1, 140)"))
+
+
+@query(
+    f"""WITH {_HIT3}, h AS (SELECT hit.query_id, rank, hit.source, {_STRIP.format('chunk.text')} AS t, b.text AS q, {_INFO.format(_BLANKS.format('b.text'))} AS a FROM hit JOIN chunk USING (chunk_id) JOIN benchmark b ON item_id = query_id),
+w AS (SELECT query_id, rank, source, q, a, unnest(w) AS text, generate_subscripts(w, 1) AS pos FROM (SELECT *, {_CUT} AS w FROM h)),
+x AS (SELECT query_id, rank, source, text, pos, 0.45::DOUBLE * ({_A['cov']}) + 0.30::DOUBLE * ({_A['sent']}) + 0.75::DOUBLE * 0 + 0.15::DOUBLE * {_A['cue']} - 0.80::DOUBLE * ({_A['copied']}) AS relevance FROM w)
+SELECT query_id, rank, source, arg_max(text, (relevance, -pos)) AS text FROM x GROUP BY ALL"""
+)
 def answer_snippets(s, d):
     i = index(s, d)
     hits = _hits(s, d, i, 3).join(i.chunks.select("chunk_id", "text"), "chunk_id").join(questions(s, d).withColumnRenamed("query", "question"), "query_id")

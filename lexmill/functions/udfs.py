@@ -8,6 +8,7 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -79,8 +80,14 @@ def _option_similarity(left: str | None, right: str | None) -> float:
 
 
 @F.pandas_udf(DoubleType())
-def cloze_bridge(questions: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([bridge(q, t) for q, t in zip(questions, texts)], dtype="float64")
+def _cloze_bridge(questions: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([bridge(q, t) if q is not None else 0.0 for q, t in zip(questions, texts)], dtype="float64")
+
+
+def cloze_bridge(question: Column | str, text: Column | str) -> Column:
+    """:func:`bridge`; questions without a blank send nothing to Python."""
+    blank = T.nfkc(question).rlike(T.BLANK_MARKER)
+    return _cloze_bridge(F.when(blank, T.col(question)), F.when(blank, T.col(text)))
 
 
 @F.pandas_udf(DoubleType())
