@@ -105,10 +105,12 @@ def _logistic(x: np.ndarray, earlier: np.ndarray, y: np.ndarray, steps: int = 40
     are one row with a weight."""
     some = x.any(1)
     few, weight = np.unique(np.column_stack([earlier[~some], y[~some]]), axis=0, return_counts=True)
-    bare = np.column_stack([np.zeros((len(few), x.shape[1])), few[:, :-1]])
-    rows = np.column_stack([np.vstack([np.column_stack([x[some], earlier[some]]), bare]), np.ones(some.sum() + len(few))]).astype(np.float32)
+    n, d = int(some.sum()), x.shape[1]
+    rows = np.ones((n + len(few), d + earlier.shape[1] + 1), np.float32)
+    rows[:n, :d], rows[n:, :d] = x[some], 0
+    rows[:n, d:-1], rows[n:, d:-1] = earlier[some], few[:, :-1]
     target = np.r_[y[some], few[:, -1]].astype(np.float32)
-    share = (np.r_[np.ones(some.sum()), weight] / max(1, len(y))).astype(np.float32)
+    share = (np.r_[np.ones(n), weight] / max(1, len(y))).astype(np.float32)
     w, speed = np.zeros(rows.shape[1], np.float32), np.zeros(rows.shape[1], np.float32)
     hold = np.r_[np.full(len(w) - 1, l2), 0].astype(np.float32)
     for _ in range(steps):
@@ -130,7 +132,7 @@ def fit_chain(features: list[np.ndarray], places: list[np.ndarray], toxic: np.nd
 
     def table(use: np.ndarray) -> np.ndarray:
         use = np.sort(use)
-        x = np.zeros((len(features), len(use)), np.float32)
+        x = np.zeros((len(features), len(use)), np.uint8)
         if len(use):
             column = np.minimum(np.searchsorted(use, at), len(use) - 1)
             found = use[column] == at
