@@ -123,7 +123,7 @@ ts AS (SELECT term, count(*) AS df, ln(1.0 + ((SELECT count(*) FROM chunk) - cou
 def _score_sql(name: str, asked: str) -> str:
     """Scores as ``name`` for ``asked(query_id, term, weight)``."""
     return f"""{name} AS (
-  SELECT query_id, chunk_id, sum(round(weight * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1.0::DOUBLE - 0.75::DOUBLE + 0.75::DOUBLE * length / (SELECT sum(length)::DOUBLE / count(*) FROM size))) * 1000000000)::BIGINT)::BIGINT AS score_e9
+  SELECT query_id, chunk_id, sum(weight * round(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1.0::DOUBLE - 0.75::DOUBLE + 0.75::DOUBLE * length / (SELECT sum(length)::DOUBLE / count(*) FROM size))) * 1000000000)::BIGINT)::BIGINT AS score_e9
   FROM {asked} JOIN ts USING (term) JOIN post USING (term) JOIN size USING (chunk_id) GROUP BY ALL)"""
 
 
