@@ -16,6 +16,7 @@ from .functions import text as T
 from .operators import evaluation, ranking, reports, rerank, retrieval
 from .plans import config, datasets, runs
 from .sources import files
+from .sources.scratch import Scratch
 from .streaming import episodes, telemetry
 
 QUERIES: dict = {}
@@ -96,8 +97,18 @@ def chunks(s, d) -> DataFrame:
     return retrieval.window_chunks(table(s, d, "documents"), source)
 
 
+_INDEXES: dict[tuple, retrieval.Index] = {}
+
+
 def index(s, d) -> retrieval.Index:
-    return retrieval.build_index(chunks(s, d))
+    """The chunks' index, stored once per session and state of the files: what
+    an application would keep between queries."""
+    docs = table(s, d, "documents")
+    state = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    key = (s.sparkContext.applicationId, *sorted(tuple(r) for r in state.collect()))  # a row per file
+    if key not in _INDEXES:
+        _INDEXES[key] = retrieval.build_index(chunks(s, d), scratch=Scratch(s, "index"))
+    return _INDEXES[key]
 
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
