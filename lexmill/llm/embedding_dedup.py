@@ -46,6 +46,8 @@ from .common import Scratch, broadcast_if_small, fit_threshold, groups_of, hash3
 from .components import connected_components
 
 BLOCK = 1024
+#: Cells of more than half a block are dealt in smaller ones, up to so many, so that some thousand vectors spread.
+SMALL_BLOCK, SMALL_BLOCKS = 256, 8
 #: Vectors of the largest label that a cell is meant to hold on the average.
 PER_CELL = 64
 CODEWORDS = (4, 256)
@@ -53,7 +55,7 @@ CODEWORDS = (4, 256)
 #: links to the sample of their label tell the reach.
 SAMPLE, PROBES = 20_000, 2_000
 #: Share of the sample's links that the reach covers, by default.
-RECALL = 0.999
+RECALL = 0.9999
 SLACK = 1e-6
 #: Rows that a task compares, about.
 TASK_ROWS = 4096
@@ -231,7 +233,7 @@ def near_duplicates(
     filed = placed.groupBy("label", "d", F.col("home").alias("cell")).agg(F.count("*").alias("filed"))
     visits = placed.select("label", "d", "home", F.explode("visits").alias("cell"))
     visited = visits.groupBy(*key).agg(F.count("*").alias("visited"))
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.when(F.col(c) > BLOCK // 2, F.least(F.ceil(F.col(c) / SMALL_BLOCK), F.lit(SMALL_BLOCKS))).otherwise(1)).cast("int")
     sizes = filed.join(visited, key).where("filed > 1 OR visited > 1").select(*key, "filed", "visited", blocks("filed").alias("file_blocks"), blocks("visited").alias("visit_blocks"))
     sizes = scratch.save(sizes, "sizes")
     n_dealt = sizes.agg(F.sum(F.col("filed") * F.col("visit_blocks") + F.col("visited") * F.col("file_blocks"))).first()[0] or 0
