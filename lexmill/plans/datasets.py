@@ -67,12 +67,20 @@ def answer_key(expected: Column | str) -> Column:
     return F.concat(T.expected_type(expected), F.lit(":"), T.compact(T.answer_payload(expected)))
 
 
+def shown_payload(expected: Column | str) -> Column:
+    """The payload as a target shows it: grading splits the answers to blanks
+    at semicolons and line ends, so those inside a form are spaces here."""
+    firsts = F.transform(F.split(T.strip(T.expected_body(expected)), r"\|\|\|"), lambda item: T.strip(F.regexp_replace(T.strip(F.get(F.split(item, "[/／]"), 0)), "[;；\n]+", " ")))
+    shown = F.array_join(F.filter(firsts, lambda x: x != ""), "; ")
+    return F.when(T.expected_type(expected) == "fill", shown).otherwise(T.answer_payload(expected))
+
+
 def direct_splits(rows: DataFrame, order: str = "ord", denominator: int = 20) -> DataFrame:
     """(group_key, kind, messages, n_rows, status, split) by question: groups
     whose answers conflict, or whose first row does not grade itself in full,
     get a status and no split."""
     kind, payload = T.expected_type("expected_answer"), T.answer_payload("expected_answer")
-    completion = F.concat(F.lit("<answer>\\boxed{"), payload, F.lit("}</answer>"))
+    completion = F.concat(F.lit("<answer>\\boxed{"), shown_payload("expected_answer"), F.lit("}</answer>"))
     keyed = rows.withColumn("group_key", question_key("query")).where("group_key <> ''").withColumn("answer_key", answer_key("expected_answer"))
     groups = keyed.groupBy("group_key").agg(F.count("*").alias("n_rows"), F.count_distinct("answer_key").alias("n_answers"), F.min_by(F.struct("query", "expected_answer"), order).alias("first"))
     flat = groups.select("group_key", "n_rows", "n_answers", "first.*").withColumns({"kind": kind, "completion": completion})

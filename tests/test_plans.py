@@ -44,6 +44,22 @@ def test_direct_splits(spark):
     assert sides["train"] and sides["validation"] and not sides["train"] & sides["validation"]
 
 
+def test_direct_splits_keep_forms_of_several_lines(spark):
+    data = [(0, "一道填空题\n题目：first", "[fill] two.\nlines/other ||| a;b ||| 2"), (1, "一道填空题\n题目：second", "[fill] ||| b"), (2, "一道简答题\n题目：third", "[short] two;\nlines ||| b")]
+    splits = datasets.direct_splits(spark.createDataFrame(data, "ord int, query string, expected_answer string"), denominator=5).cache()
+    out = {r.group_key: r for r in splits.collect()}
+    assert {k: r.status for k, r in out.items()} == {"first": "ok", "second": "invalid", "third": "ok"}
+    assert out["first"].completion == "<answer>\\boxed{two. lines; a b; 2}</answer>"
+    assert out["third"].completion == "<answer>\\boxed{two;\nlines; b}</answer>"
+
+
+def test_split_statistics_count_forms_of_several_lines_as_kept(spark):
+    data = [(0, "一道填空题\n题目：first", "[fill] two.\nlines/other ||| a ||| 2"), (1, "一道填空题\n题目：second", "[fill] ||| b")]
+    splits = datasets.direct_splits(spark.createDataFrame(data, "ord int, query string, expected_answer string"), denominator=5)
+    found = datasets.split_statistics(splits).first()
+    assert (found.questions, found.kept, found.invalid, found.conflicts) == (2, 1, 1, 0)
+
+
 def test_types_are_checked(spark):
     rows = spark.createDataFrame([("一道填空题",)], "query string")
     with pytest.raises(ValueError):
