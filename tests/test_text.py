@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,15 @@ def test_small_formats(spark):
     assert one(spark, T.choice_answer("s"), s="x") is None
     assert one(spark, T.safe_label("s"), s="<a>") == "＜a＞"
     assert one(spark, T.windows("s", 10, 2), s="abcdefghijklmnop") == ["abcdefghij", "ijklmnop"]
+
+
+def test_windows_of_long_texts_are_cut_in_one_pass(spark):
+    texts = ["né 文。x\n" * 900 + "end  ", "  " + "word " * 80_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    began = time.time()
+    got = df.select(T.snippet_windows("t", 140).alias("s"), T.windows("t", 480).alias("w")).collect()
+    assert time.time() - began < 20  # minutes while each window stripped the whole text anew
+    for t, r in zip(texts, got):
+        fixed = [x for i in range(0, len(t.strip()), 70) if (x := t.strip()[i:i + 140].strip())]
+        assert r.s[-len(fixed):] == fixed
+        assert r.w == [x for k in range(-(-(len(t) - 480) // 400) + 1) if (x := t[k * 400:k * 400 + 480].strip())]
