@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,16 +66,31 @@ def _play(turns: pd.DataFrame, s: State, max_searches: int, scale: float) -> Ite
 
 
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+PLAYED = ["conv_id", "turn", "boxed", "searching", "reward", "found", "shaped"]
+ARROW = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.int32(), pa.bool_(), pa.float64()]
 
 
 def run_batch(turns: DataFrame, max_searches: int = MAX_SEARCHES, scale: float = 0.0) -> DataFrame:
     """Assistant turns (conv_id, turn, boxed, searching, reward, found, shaped)
-    with their outcome, up to each episode's end."""
-
-    def play(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_play(group, State(), max_searches, scale)), columns=COLUMNS)
-
-    return turns.groupBy("conv_id").applyInPandas(play, OUT)
+    with their outcome, up to each episode's end. Episodes are dealt and turns
+    ordered by the engine; a task then plays them one after the other, which
+    costs a step per turn and no call per episode."""
+
+    def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, s = object(), State()
+        for batch in batches:
+            out = []
+            for conv, turn, *rest in zip(*(batch.column(c).to_pylist() for c in PLAYED)):
+                if conv != now:
+                    now, s = conv, State()
+                if not s.ended:
+                    action, reward = step(s, *rest, max_searches, scale)
+                    out.append((conv, turn, action, reward, s.ended, s.searches, s.must_answer, s.evidence))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), ARROW)], COLUMNS)
+
+    dealt = turns.select(*PLAYED).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    return dealt.mapInArrow(play, OUT)
 
 
 def run_stream(turns: DataFrame, max_searches: int = MAX_SEARCHES, scale: float = 0.0, idle: str | None = "1 hour") -> DataFrame:
