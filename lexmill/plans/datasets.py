@@ -68,19 +68,22 @@ def answer_key(expected: Column | str) -> Column:
 
 
 def shown_payload(expected: Column | str) -> Column:
-    """The payload as a target shows it: grading splits the answers to blanks
-    at semicolons and line ends, so those inside a form are spaces here."""
-    firsts = F.transform(F.split(T.strip(T.expected_body(expected)), r"\|\|\|"), lambda item: T.strip(F.regexp_replace(T.strip(F.get(F.split(item, "[/／]"), 0)), "[;；\n]+", " ")))
-    shown = F.array_join(F.filter(firsts, lambda x: x != ""), "; ")
-    return F.when(T.expected_type(expected) == "fill", shown).otherwise(T.answer_payload(expected))
+    """The payload as a target shows it: of each item the first form that grading
+    reads, or else the first. Grading splits the answers to blanks at semicolons
+    and line ends, so those inside a form are spaces here."""
+    kind = T.expected_type(expected)
+    plain = lambda form: T.strip(F.when(kind == "fill", F.regexp_replace(form, "[;；\n]+", " ")).otherwise(form))
+    first = lambda forms: F.coalesce(F.get(F.filter(forms, lambda form: T.loose(form) != ""), 0), F.get(forms, 0))
+    shown = F.transform(F.split(T.expected_body(expected), r"\|\|\|"), lambda item: plain(first(F.split(item, "[/／]"))))
+    return F.when(kind.isin(OPEN_TYPES), F.array_join(F.filter(shown, lambda x: x != ""), "; ")).otherwise(T.answer_payload(expected))
 
 
 def direct_splits(rows: DataFrame, order: str = "ord", denominator: int = 20) -> DataFrame:
     """(group_key, kind, messages, n_rows, status, split) by question: groups
     whose answers conflict, or whose first row does not grade itself in full,
     get a status and no split."""
-    kind, payload = T.expected_type("expected_answer"), T.answer_payload("expected_answer")
-    completion = F.concat(F.lit("<answer>\\boxed{"), shown_payload("expected_answer"), F.lit("}</answer>"))
+    kind, payload = T.expected_type("expected_answer"), shown_payload("expected_answer")
+    completion = F.concat(F.lit("<answer>\\boxed{"), payload, F.lit("}</answer>"))
     keyed = rows.withColumn("group_key", question_key("query")).where("group_key <> ''").withColumn("answer_key", answer_key("expected_answer"))
     groups = keyed.groupBy("group_key").agg(F.count("*").alias("n_rows"), F.count_distinct("answer_key").alias("n_answers"), F.min_by(F.struct("query", "expected_answer"), order).alias("first"))
     flat = groups.select("group_key", "n_rows", "n_answers", "first.*").withColumns({"kind": kind, "completion": completion})
@@ -92,11 +95,12 @@ def direct_splits(rows: DataFrame, order: str = "ord", denominator: int = 20) ->
 
 
 def split_statistics(splits: DataFrame) -> DataFrame:
-    """One row of counts over :func:`direct_splits`."""
+    """One row of counts over :func:`direct_splits`. Without any question, sums
+    are null, but none is invalid."""
     of = lambda c: F.sum(c.cast("long"))
     s = F.col("status")
     return splits.agg(
-        F.count("*").alias("questions"), of(F.col("n_rows") - 1).alias("duplicates"), of(s == "conflict").alias("conflicts"), of(s == "invalid").alias("invalid"),
+        F.count("*").alias("questions"), of(F.col("n_rows") - 1).alias("duplicates"), of(s == "conflict").alias("conflicts"), F.count_if(s == "invalid").alias("invalid"),
         of(s == "ok").alias("kept"), of(F.coalesce(F.col("split") == "validation", F.lit(False))).alias("validation"),
     )
 

@@ -60,6 +60,15 @@ def test_split_statistics_count_forms_of_several_lines_as_kept(spark):
     assert (found.questions, found.kept, found.invalid, found.conflicts) == (2, 1, 1, 0)
 
 
+def test_direct_splits_show_the_first_form_that_is_read(spark):
+    data = [(0, "一道填空题\n题目：first", "[fill] /b ||| ./c;d ||| 2"), (1, "一道简答题\n题目：second", "[short] . ||| /b"), (2, "一道填空题\n题目：third", "[fill] ./ ||| b")]
+    splits = datasets.direct_splits(spark.createDataFrame(data, "ord int, query string, expected_answer string"), denominator=5)
+    out = {r.group_key: (r.status, r.completion) for r in splits.collect()}
+    assert out["first"] == ("ok", "<answer>\\boxed{b; c d; 2}</answer>")
+    assert out["second"] == ("ok", "<answer>\\boxed{.; b}</answer>")
+    assert out["third"][0] == "invalid"
+
+
 def test_types_are_checked(spark):
     rows = spark.createDataFrame([("一道填空题",)], "query string")
     with pytest.raises(ValueError):
